@@ -13,7 +13,7 @@ import struct
 import numpy as np
 
 #: Words kept per worker process; the table is emptied when full. Longer words are encoded but not kept.
-MAX_WORDS = 500_000
+MAX_WORDS = 1_200_000
 MAX_KEPT_BYTES = 48
 CHUNK_WORDS = 4_000
 
