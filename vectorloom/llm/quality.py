@@ -32,13 +32,14 @@ from vectorloom.runtime import ship
 VOCABULARY, SHAPES, DIMENSIONS, NONZERO = 1 << 13, 1 << 9, 48, 4
 HIDDEN, EPOCHS, BATCH, MAX_TRAINING = 32, 30, 256, 12_000
 CUT = 0.7
-_UPPER, _LOWER, _DIGIT = re.compile(r"[A-ZÀ-Þ]+"), re.compile(r"[a-zß-ÿ]+"), re.compile(r"[0-9]+")
+#: ASCII capitals, small letters and digits to one of their kind; bytes of other letters count as small letters.
+_KIND = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256))
+_RUN = re.compile(rb"(.)\1+", re.DOTALL)
+MAX_WORDS = 1_000_000
 
 
-def _shape(word: bytes) -> str:
-    s = word[:64].decode("utf-8", "ignore")
-    s = _DIGIT.sub("0", _LOWER.sub("a", _UPPER.sub("A", s)))
-    return re.sub(r"(.)\1+", r"\1\1", s)[:12]
+def _shape(word: bytes) -> bytes:
+    return _RUN.sub(rb"\1\1", word[:64].translate(_KIND))[:12]
 
 
 class _Numbers(dict):
@@ -48,7 +49,7 @@ class _Numbers(dict):
         import xxhash
 
         w = xxhash.xxh32_intdigest(word.lower()) % VOCABULARY
-        s = VOCABULARY + xxhash.xxh32_intdigest(_shape(word).encode(), 1) % (SHAPES - 1)
+        s = VOCABULARY + xxhash.xxh32_intdigest(_shape(word), 1) % (SHAPES - 1)
         n = self[word] = w << 16 | s
         return n
 
@@ -61,7 +62,7 @@ _ENTRIES = VOCABULARY + SHAPES
 def entries_of(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     """Vocabulary numbers of the words and of their shapes, in order."""
     words = text.split() if text else []
-    if len(_numbers) > 400_000:
+    if len(_numbers) > MAX_WORDS:
         _numbers.clear()
     both = np.fromiter(map(_numbers.__getitem__, words), np.int64, len(words))
     word, shape = both >> 16, both & 0xFFFF
@@ -70,27 +71,29 @@ def entries_of(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     return word, shape
 
 
-def index_vectors(seed: int = 5) -> np.ndarray:
-    """A sparse ternary vector for each entry, made from its number alone."""
+def _sparse_index(seed: int, entries: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of each entry's index vector, made from its number alone."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    out = np.zeros((_ENTRIES, DIMENSIONS), np.float32)
-    at = rng.integers(0, DIMENSIONS, (_ENTRIES, NONZERO))
-    sign = rng.choice(np.array([-1, 1], np.float32), (_ENTRIES, NONZERO))
+    return rng.integers(0, DIMENSIONS, (entries, NONZERO)), rng.choice(np.array([-1.0, 1.0]), (entries, NONZERO))
+
+
+def index_vectors(seed: int, entries: int) -> np.ndarray:
+    at, sign = _sparse_index(seed, entries)
+    out = np.zeros((entries, DIMENSIONS))
     for k in range(NONZERO):
-        np.add.at(out, (np.arange(_ENTRIES), at[:, k]), sign[:, k])
+        np.add.at(out, (np.arange(entries), at[:, k]), sign[:, k])
     return out
 
 
 def _context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    index = index_vectors()
-    total = np.zeros((_ENTRIES, DIMENSIONS), np.float64)
+    at, sign = _sparse_index(5, VOCABULARY)
+    total = np.zeros((_ENTRIES, DIMENSIONS))
+    pairs = np.zeros(SHAPES * SHAPES)
 
     def add(target: np.ndarray, near: np.ndarray) -> None:
-        order = np.argsort(target, kind="stable")
-        target, near = target[order], near[order]
-        first = np.flatnonzero(np.r_[True, target[1:] != target[:-1]])
-        # entry x neighbour counts would be large and sparse: sum index vectors over runs of one entry
-        total[target[first]] += np.add.reduceat(index[near], first, axis=0)
+        """Each target entry takes its neighbour's few non-zeros."""
+        place = target[:, None] * DIMENSIONS + at[near]
+        total[:VOCABULARY] += np.bincount(place.ravel(), sign[near].ravel(), VOCABULARY * DIMENSIONS).reshape(VOCABULARY, DIMENSIONS)
 
     words: list[np.ndarray] = []
     shapes: list[np.ndarray] = []
@@ -103,8 +106,7 @@ def _context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(a):
             add(a, b)
             add(b, a)
-            add(sa, sb)
-            add(sb, sa)
+            pairs[:] += np.bincount((sa - VOCABULARY) * SHAPES + (sb - VOCABULARY), minlength=SHAPES * SHAPES)
         words.clear()
         shapes.clear()
 
@@ -120,6 +122,8 @@ def _context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held = 0
     if words:
         flush()
+    near = pairs.reshape(SHAPES, SHAPES)  # few enough to count, then sum
+    total[VOCABULARY:] = (near + near.T) @ index_vectors(7, SHAPES)
     step = 512
     some = [k for k in range(0, _ENTRIES, step) if total[k : k + step].any()]
     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([total[k : k + step].astype("<f4").tobytes() for k in some], pa.binary())], ["at", "sums"])
@@ -142,7 +146,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         out[r["at"] : r["at"] + len(part)] = part
     mean = out.sum(axis=0) / max(1e-9, np.abs(out).sum())
     out = out / np.maximum(1e-9, np.linalg.norm(out, axis=1, keepdims=True)) - mean
-    own = index_vectors(seed=6)  # an entry without neighbours of its own still tells itself from others
+    own = index_vectors(6, _ENTRIES)  # an entry without neighbours of its own still tells itself from others
     return (out + 0.5 * own / np.linalg.norm(own, axis=1, keepdims=True).clip(1e-9)).astype(np.float32)
 
 
