@@ -31,14 +31,16 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from vectorloom.llm.quality import held_out
 from vectorloom.runtime import ship
 
-MAX_TRAINING, FEATURES, LEXICON, FOLDS, LEAST_DF = 20_000, 256, 64, 5, 5
+MAX_TRAINING, FEATURES, LEXICON, FOLDS, LEAST_DF, STEM = 20_000, 384, 64, 5, 5, 4
 CATEGORIES = ("abusive", "severe", "toxic")
 #: A-Z to a-z; ASCII marks and control characters to spaces.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
 def words_of(text: bytes | None) -> set[bytes]:
-    return set(text.translate(_TABLE).split()) if text else set()
+    """The words of a text, and the beginnings of the longer ones (marked by ^), which inflected forms share."""
+    words = set(text.translate(_TABLE).split()) if text else set()
+    return words | {b"^" + w[:STEM] for w in words if len(w) > STEM}
 
 
 def _weight(pos: int, neg: int, n_pos: int, n_neg: int) -> float:
@@ -51,7 +53,7 @@ def _weight(pos: int, neg: int, n_pos: int, n_neg: int) -> float:
     return 2 * out if pos * n_neg >= neg * n_pos else -2 * out
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, l2: float = 1.0) -> np.ndarray:
+def fit_linear(x: np.ndarray, y: np.ndarray, l2: float = 0.1) -> np.ndarray:
     """Logistic regression by Newton steps; the last weight is the bias and isn't shrunk."""
     a = np.hstack((x, np.ones((len(x), 1))))
     w, ridge = np.zeros(a.shape[1]), np.full(a.shape[1], l2)
