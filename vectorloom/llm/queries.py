@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import maxscore, mixing, ngram_join, packing, pii, quality, shards, token_store, tokens, toxicity
+from vectorloom.llm import image_copies, maxscore, mixing, ngram_join, packing, pii, quality, shards, token_store, tokens, toxicity
 
 
 OP4_SQL = """
@@ -26,6 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = image_copies.image_copies(image_copies.page_pictures(table(spark, sf_dir, "pages").select("page_id", "html")))
+    return found.withColumnRenamed("id", "page_id")
+
+
 def op2_hypergeometric_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.hypergeometric_shuffle(table(spark, sf_dir, "documents").select("doc_id", "text"), 40)
     text = F.coalesce("text", F.lit(""))
@@ -72,7 +77,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_hypergeometric_shuffle, op3_contextual_pii, op4_maxscore, op5_ngram_join, op6_quality, op7_toxicity, op8_token_store, op9_cube_mixing, op10_best_fit_packing]
+    own = [op1_image_copies, op2_hypergeometric_shuffle, op3_contextual_pii, op4_maxscore, op5_ngram_join, op6_quality, op7_toxicity, op8_token_store, op9_cube_mixing, op10_best_fit_packing]
     return {f.__name__: f for f in own}
 
 
