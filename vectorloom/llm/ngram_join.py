@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vectorloom.llm import memo
 from vectorloom.llm.components import connected_components
 from vectorloom.runtime import Scratch, ship
 
@@ -51,7 +52,8 @@ class _WordHashes(dict):
         return h
 
 
-_hashes = _WordHashes()
+#: Words kept per worker process; the table is emptied when full.
+MAX_WORDS = 600_000
 
 
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
@@ -59,9 +61,10 @@ def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     words = text.lower().split() if text else []
     if not words:
         return np.empty(0, np.uint64)
-    if len(_hashes) > 1_000_000:
-        _hashes.clear()
-    w = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    hashes = memo.table("hashes", _WordHashes)
+    if len(hashes) > MAX_WORDS:
+        hashes.clear()
+    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     n = len(w)
     if n < width:
         h = (w * _MIX[:n]).sum(keepdims=True, dtype=np.uint64) ^ np.uint64(n)

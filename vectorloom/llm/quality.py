@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from vectorloom.llm import memo
 from vectorloom.runtime import ship
 
 VOCABULARY, SHAPES, DIMENSIONS, NONZERO = 1 << 13, 1 << 9, 48, 4
@@ -35,7 +36,8 @@ CUT = 0.7
 #: ASCII capitals, small letters and digits to one of their kind; bytes of other letters count as small letters.
 _KIND = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256))
 _RUN = re.compile(rb"(.)\1+", re.DOTALL)
-MAX_WORDS = 1_000_000
+#: Words kept per worker process; the table is emptied when full.
+MAX_WORDS = 600_000
 
 
 def _shape(word: bytes) -> bytes:
@@ -54,7 +56,6 @@ class _Numbers(dict):
         return n
 
 
-_numbers = _Numbers()
 _REPEAT = VOCABULARY + SHAPES - 1
 _ENTRIES = VOCABULARY + SHAPES
 
@@ -62,9 +63,10 @@ _ENTRIES = VOCABULARY + SHAPES
 def entries_of(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     """Vocabulary numbers of the words and of their shapes, in order."""
     words = text.split() if text else []
-    if len(_numbers) > MAX_WORDS:
-        _numbers.clear()
-    both = np.fromiter(map(_numbers.__getitem__, words), np.int64, len(words))
+    numbers = memo.table("numbers", _Numbers)
+    if len(numbers) > MAX_WORDS:
+        numbers.clear()
+    both = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
     word, shape = both >> 16, both & 0xFFFF
     if len(word) > 1:
         shape[1:][word[1:] == word[:-1]] = _REPEAT

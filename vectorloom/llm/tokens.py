@@ -12,13 +12,14 @@ import struct
 
 import numpy as np
 
+from vectorloom.llm import memo
+
 #: Words kept per worker process; the table is emptied when full. Longer words are encoded but not kept.
 MAX_WORDS = 1_200_000
 MAX_KEPT_BYTES = 48
 CHUNK_WORDS = 4_000
 
 _tokenizers: dict[str, object] = {}
-_words: dict[str, dict[bytes, bytes]] = {}
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -104,7 +105,7 @@ def _encode_new(path: str, words: list[bytes], known: dict[bytes, bytes]) -> dic
 
 def encode_texts(path: str, texts: list[bytes | None]) -> list[bytes]:
     """Ids of each text (UTF-8 bytes; null is empty) as little-endian uint32."""
-    known = _words.setdefault(path, {})
+    known: dict[bytes, bytes] = memo.table(f"tokens {path}")
     out = []
     for text in texts:
         if not text:
