@@ -3,8 +3,9 @@
 Each image gets corners at two scales, an orientation from the centroid of brightness around each, and 256
 binary brightness tests in the turned frame. Equal images are one class from here on. Descriptors are cut into
 tables: two descriptors within the allowed Hamming distance that agree on a whole table meet by hash range. A
-map task sends a table value once, with its smallest image, and links the others to it itself, so a common
-value costs a row a task. The candidate clusters so linked are cut into blocks of bounded size; two blocks meet
+map task sends a table value once, with its smallest image, and casts the others' votes for it itself, so a
+common value costs a row a task. Images with MIN_VOTES or more values in common are linked to candidate clusters,
+which are cut into blocks of bounded size; two blocks meet
 in a task that takes all Hamming distances of their descriptors by one matrix product, keeps mutual nearest
 matches, and asks for geometric consensus: enough matches must agree on one turn, scale and shift. Only links a
 class and a spanning forest leave the task.
@@ -24,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectorloom.llm.components import connected_components
-from vectorloom.llm.ngram_join import _cut, _emit, _flushes, _forest, _star_edges, _stars
+from vectorloom.llm.ngram_join import _blob, _cut, _emit, _flushes, _forest
 from vectorloom.runtime import Scratch, ship
 
 CORNERS = (16, 8)
 RADIUS, BITS, TABLES, TABLE_BITS, TURNS = 6, 256, 6, 42, 32
-MAX_DISTANCE, MIN_AGREE, BLOCK = 48, 4, 96
+MAX_DISTANCE, MIN_AGREE, MIN_VOTES, BLOCK = 48, 4, 3, 96
 _MARGIN = RADIUS + 2
 
 
@@ -178,6 +179,16 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, ["id", "hi", "lo", "n", "corners", "bits"])
 
 
+def _votes(h: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each key once with its smallest owner, and (other owner, that owner, keys in common)."""
+    o = np.lexsort((own, h))
+    h, own = h[o], own[o]
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
+    least = np.repeat(own[first], np.diff(np.r_[first, len(h)]))
+    pairs, n = np.unique(np.stack((own, least), axis=1)[own != least], axis=0, return_counts=True)
+    return h[first], own[first], pairs[:, 0], pairs[:, 1], n.astype(np.int64)
+
+
 def _parts(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def take(b):
@@ -185,21 +196,26 @@ def _parts(buckets: int):
                 yield cid, np.unique(table_keys(np.frombuffer(raw, np.uint8).reshape(-1, BITS // 8)))
 
         for h, own in _flushes(batches, take):
-            h, own, a, b = _stars(h, own)
-            bucket, cols = [], [[], [], [], []]
+            h, own, *votes = _votes(h, own)
+            bucket, cols = [], [[] for _ in range(5)]
             for k, parts in _cut(h, buckets, h, own):
                 bucket.append(k)
-                for c, p in zip(cols, [*parts, b"", b""], strict=True):
+                for c, p in zip(cols, [*parts, b"", b"", b""], strict=True):
                     c.append(p)
-            if len(a):
-                bucket.append(int(a[0]) % buckets)
-                for c, p in zip(cols, [b"", b"", a.tobytes(), b.tobytes()], strict=True):
+            for j in range(0, len(votes[0]), 1 << 16):
+                bucket.append(int(votes[0][j]) % buckets)
+                for c, p in zip(cols, [b"", b"", *(v[j : j + (1 << 16)].tobytes() for v in votes)], strict=True):
                     c.append(p)
-            yield _emit(bucket, cols, ["h", "own", "a", "b"])
+            yield _emit(bucket, cols, ["h", "own", "a", "b", "n"])
 
     return run
 
 
+def _tally(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    _, _, *votes = _votes(_blob(table, "h", "<u8"), _blob(table, "own", "<i8"))
+    return pa.table({c: pa.array(np.concatenate((v, _blob(table, c, "<i8"))), pa.int64()) for c, v in zip("abn", votes, strict=True)})
+
+
 def match_blocks(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Which images of two blocks, given as (corners, +-1 descriptors), are copies."""
     out = np.zeros((len(left), len(right)), bool)
@@ -259,8 +275,9 @@ def image_copies(images: DataFrame) -> DataFrame:
     sets = scratch.keep(described.join(rep, ["id", "hi", "lo"]).select("cid", "cnt", "n", "corners", "bits").dropDuplicates(["cid", "bits"]), "sets")
     total = int(sets.agg(F.sum("n")).first()[0] or 0)
     buckets = max(128, TABLES * total >> 19)
-    stars = sets.select("cid", "bits").mapInArrow(_parts(buckets), "bucket long, h binary, own binary, a binary, b binary")
-    clusters = connected_components(stars.groupBy("bucket").applyInArrow(_star_edges, "a long, b long"), scratch)
+    stars = sets.select("cid", "bits").mapInArrow(_parts(buckets), "bucket long, h binary, own binary, a binary, b binary, n binary")
+    votes = stars.groupBy("bucket").applyInArrow(_tally, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    clusters = connected_components(votes.where(F.col("n") >= MIN_VOTES).select("a", "b"), scratch)
 
     sizes = clusters.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     members = sets.join(clusters.select(F.col("v").alias("cid"), F.col("label").alias("cluster")), "cid")
@@ -298,7 +315,7 @@ def page_pictures(pages: DataFrame) -> DataFrame:
         import xxhash
 
         rng = np.random.Generator(np.random.PCG64(33))
-        bank = rng.integers(0, 120, (1024, TILE // 4, TILE // 4), dtype=np.uint8).repeat(4, axis=1).repeat(4, axis=2)
+        bank = rng.integers(0, 120, (4096, TILE // 2, TILE // 2), dtype=np.uint8).repeat(2, axis=1).repeat(2, axis=2)
         side = TILES * TILE
         for b in batches:
             out = []
@@ -306,8 +323,7 @@ def page_pictures(pages: DataFrame) -> DataFrame:
                 words = html.split() if html else []
                 seeds = [xxhash.xxh64_intdigest(b" ".join(words[len(words) * k // TILES**2 : len(words) * (k + 1) // TILES**2])) for k in range(TILES**2)]
                 s = np.array(seeds, np.uint64)
-                tiles = bank[s & np.uint64(1023)] + bank[(s >> np.uint64(10)) & np.uint64(1023)].transpose(0, 2, 1)[:, ::-1]
-                tiles = np.roll(tiles, 1, axis=2)
+                tiles = bank[s & np.uint64(4095)] + bank[(s >> np.uint64(12)) & np.uint64(4095)].transpose(0, 2, 1)[:, ::-1]
                 out.append(tiles.reshape(TILES, TILES, TILE, TILE).swapaxes(1, 2).reshape(side, side).tobytes() if words else None)
             size = pa.array([side] * len(out), pa.int32())
             yield pa.RecordBatch.from_arrays([b.column("page_id"), size, size, pa.array(out, pa.binary())], ["id", "width", "height", "pixels"])
