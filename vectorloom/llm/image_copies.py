@@ -315,7 +315,7 @@ def page_pictures(pages: DataFrame) -> DataFrame:
         import xxhash
 
         rng = np.random.Generator(np.random.PCG64(33))
-        bank = rng.integers(0, 120, (4096, TILE // 2, TILE // 2), dtype=np.uint8).repeat(2, axis=1).repeat(2, axis=2)
+        bank = rng.integers(0, 80, (4096, TILE // 2, TILE // 2), dtype=np.uint8).repeat(2, axis=1).repeat(2, axis=2)
         side = TILES * TILE
         for b in batches:
             out = []
@@ -323,7 +323,7 @@ def page_pictures(pages: DataFrame) -> DataFrame:
                 words = html.split() if html else []
                 seeds = [xxhash.xxh64_intdigest(b" ".join(words[len(words) * k // TILES**2 : len(words) * (k + 1) // TILES**2])) for k in range(TILES**2)]
                 s = np.array(seeds, np.uint64)
-                tiles = bank[s & np.uint64(4095)] + bank[(s >> np.uint64(12)) & np.uint64(4095)].transpose(0, 2, 1)[:, ::-1]
+                tiles = bank[s & np.uint64(4095)] + bank[(s >> np.uint64(12)) & np.uint64(4095)].transpose(0, 2, 1)[:, ::-1] + bank[(s >> np.uint64(24)) & np.uint64(4095)][:, ::-1]
                 out.append(tiles.reshape(TILES, TILES, TILE, TILE).swapaxes(1, 2).reshape(side, side).tobytes() if words else None)
             size = pa.array([side] * len(out), pa.int32())
             yield pa.RecordBatch.from_arrays([b.column("page_id"), size, size, pa.array(out, pa.binary())], ["id", "width", "height", "pixels"])
