@@ -159,7 +159,7 @@ def reconcile(source: DataFrame, ids: DataFrame, mapping: Mapping) -> DataFrame:
 
 def reconcile_summary(source_rows: int, engine_ids: int, found: DataFrame) -> DataFrame:
     count = lambda k: F.count(F.when(F.col("kind") == k, 1)).alias(k)
-    return found.agg(count("missing"), count("orphaned"), count("malformed")).select(F.lit(source_rows).alias("source_rows"), F.lit(engine_ids).alias("engine_ids"), "missing", "orphaned", "malformed", (F.col("missing") + F.col("orphaned")).alias("discrepancies"))
+    return found.agg(count("missing"), count("orphaned"), count("malformed")).select(F.lit(source_rows).cast("long").alias("source_rows"), F.lit(engine_ids).cast("long").alias("engine_ids"), "missing", "orphaned", "malformed", (F.col("missing") + F.col("orphaned")).alias("discrepancies"))
 
 
 def repair(source: DataFrame, collection: Collection, mapping: Mapping) -> int:
