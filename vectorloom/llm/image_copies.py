@@ -30,7 +30,8 @@ from vectorloom.runtime import Scratch, ship
 
 CORNERS = (16, 8)
 RADIUS, BITS, TABLES, TABLE_BITS, TURNS = 6, 256, 6, 42, 32
-MAX_DISTANCE, MIN_AGREE, MIN_VOTES, BLOCK = 48, 4, 3, 96
+#: A corner casts TABLES votes at most, so two images need two corners in common at least, a shared mark isn't enough.
+MAX_DISTANCE, MIN_AGREE, MIN_VOTES, BLOCK = 48, 4, TABLES + 4, 96
 _MARGIN = RADIUS + 2
 
 
