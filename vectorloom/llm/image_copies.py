@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectorloom.llm.components import connected_components
-from vectorloom.llm.ngram_join import _blob, _cut, _emit, _flushes, _forest
+from vectorloom.llm.ngram_join import BROADCAST_ROWS, _blob, _cut, _emit, _flushes, _forest
 from vectorloom.runtime import Scratch, ship
 
 CORNERS = (16, 8)
@@ -273,7 +273,10 @@ def image_copies(images: DataFrame) -> DataFrame:
     described = scratch.keep(images.mapInArrow(_describe, "id long, hi long, lo long, n long, corners binary, bits binary"), "described")
     classes = scratch.keep(described.where("id is not null").groupBy("hi", "lo").agg(F.min("id").alias("cid"), F.count(F.lit(1)).alias("cnt"), F.max("n").alias("n")), "classes")
     rep = classes.where(F.col("n") > 0).select(F.col("cid").alias("id"), "hi", "lo", "cid", "cnt")
-    sets = scratch.keep(described.join(rep, ["id", "hi", "lo"]).select("cid", "cnt", "n", "corners", "bits").dropDuplicates(["cid", "bits"]), "sets")
+    few = classes.count() <= BROADCAST_ROWS
+    sets = described.join(F.broadcast(rep) if few else rep, ["id", "hi", "lo"]).select("cid", "cnt", "n", "corners", "bits")
+    if described.groupBy("id", "hi", "lo").count().where("id is not null and count > 1").head(1):  # rows that repeat whole
+        sets = sets.dropDuplicates(["cid", "bits"])
     total = int(sets.agg(F.sum("n")).first()[0] or 0)
     buckets = max(128, TABLES * total >> 19)
     stars = sets.select("cid", "bits").mapInArrow(_parts(buckets), "bucket long, h binary, own binary, a binary, b binary, n binary")
@@ -281,7 +284,8 @@ def image_copies(images: DataFrame) -> DataFrame:
     clusters = connected_components(votes.where(F.col("n") >= MIN_VOTES).select("a", "b"), scratch)
 
     sizes = clusters.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    members = sets.join(clusters.select(F.col("v").alias("cid"), F.col("label").alias("cluster")), "cid")
+    in_cluster = clusters.select(F.col("v").alias("cid"), F.col("label").alias("cluster"))
+    members = sets.join(F.broadcast(in_cluster) if clusters.count() <= BROADCAST_ROWS else in_cluster, "cid")
     members = members.join(sizes.withColumnRenamed("label", "cluster"), "cluster")
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     met = members.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
