@@ -8,6 +8,7 @@ from vectorloom.functions import packing
 from vectorloom.functions.codebook import codebook, nearest
 from vectorloom.functions.quantize import ProdQuantizer, Quantizer
 from vectorloom.functions.rotation import rotate, unrotate
+from vectorloom.operators import attention, evaluate, search
 from vectorloom.operators.collection import Config, Engine
 from vectorloom.plans import filters
 from vectorloom.plans.options import SearchOptions
@@ -150,6 +151,25 @@ def test_tensor_files(spark, tmp_path):
     q8 = np.float16(0.5).tobytes() + np.arange(32, dtype=np.int8).tobytes()
     assert gguf.dequantize(q8, 8).tolist() == [0.5 * i for i in range(32)]
     assert not gguf.dequantize(np.float16(1).tobytes() + b"\x88" * 16, 2).any()
+    frame = spark.createDataFrame([(f"n{i}", v.tolist()) for i, v in enumerate(x)], "id string, values array<float>").repartitionByRange(3, "id").sortWithinPartitions("id")
+    out = str(tmp_path / "out.safetensors")
+    frame.write.format("safetensors").mode("append").save(out)
+    assert [r["values"] for r in spark.read.format("safetensors").load(out).orderBy("row").collect()] == x.tolist()
+    assert safetensors.read_header(out)[1] == {"ids": "n0\nn1\nn2\nn3\nn4"}
+    with pytest.raises(Exception, match="out.safetensors"):
+        frame.write.format("safetensors").mode("append").save(out)
+    for kind in ("F32", "F16"):
+        frame.write.format("gguf").option("tensor", "t").option("dtype", kind).mode("overwrite").save(out := str(tmp_path / "out.gguf"))
+        assert [r["values"] for r in spark.read.format("gguf").option("tensor", "t").load(out).orderBy("row").collect()] == x.tolist()
+    uneven = spark.createDataFrame([([1.0],), ([1.0, 2.0],)], "values array<float>")
+    with pytest.raises(Exception, match="same number"):
+        uneven.coalesce(1).write.format("safetensors").mode("overwrite").save(str(tmp_path / "uneven.safetensors"))
+    assert not [p for p in tmp_path.iterdir() if "parts" in p.name or "uneven" in p.name]
+    for bits in range(1, 9):
+        codes = np.random.default_rng(bits).integers(0, 1 << bits, (3, 32))
+        raw = gguf.encode_blocks(np.array([1, 0.5, 0]), np.array([7, 0, 65535]), codes, bits)
+        norms, offsets, back = gguf.decode_blocks(raw, bits)
+        assert len(raw) == 3 * gguf.block_bytes(bits) and norms.tolist() == [1, 0.5, 0] and offsets.tolist() == [7, 0, 65535] and (back == codes).all()
     raw = open(path, "rb").read()
     for broken in (raw[:4], raw[:-1], b"\xff" * 8 + raw[8:], raw[:8] + b"x" + raw[9:]):
         (tmp_path / "b.safetensors").write_bytes(broken)
@@ -191,3 +211,39 @@ def test_change_capture(spark, engine, tmp_path):
     found = {(r["id"], r["kind"]) for r in cdc.reconcile(source, c.ids(), DOCS).collect()}
     assert found == {("m", "missing"), ("bad", "malformed")}
     assert cdc.repair(source, c, DOCS) == 1 and c.list_ids()[0] == ["m", "n"]
+
+
+def test_percentiles_narrow_to_the_exact_value(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "RANKED", 50)
+    rng = np.random.default_rng(4)
+    tied = np.concatenate((rng.normal(size=1500), np.full(1500, 0.25)))
+    for x in (rng.normal(size=3000), tied, np.full(300, 2.0), np.repeat([1.0, 2.0], 150)):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double")
+        at = [0.0, 0.25, 0.5, 0.95, 1.0]
+        want = {p: float(np.sort(x)[int((len(x) - 1) * p + 0.5)]) for p in at}
+        assert {r["p"]: r["value"] for r in evaluate.percentiles(df, "v", at).collect()} == want
+    assert evaluate.percentiles(df.where("v > 99"), "v", [0.5]).count() == 0
+
+
+def test_attention_over_codes(spark):
+    x = np.random.default_rng(6).standard_normal((40, 16)).astype(np.float32)
+    config = attention.CacheConfig(16, 4, 5)
+    cache = spark.createDataFrame([(i % 2, i, v.tolist(), (2 * v).tolist()) for i, v in enumerate(x)], "sequence int, position int, key array<float>, value array<float>")
+    asked = spark.createDataFrame([(0, x[0].tolist()), (1, x[1].tolist()), (2, x[2].tolist())], "sequence int, query array<float>")
+    got = {r["sequence"]: r["output"] for r in attention.attention(attention.encode(cache, config), asked, config).collect()}
+    assert sorted(got) == [0, 1] and config.code_bytes(10) == (80, 100)
+    for s in (0, 1):
+        k, v = (q.decode(*q.encode(y[s::2].astype(np.float64))) for q, y in ((config.keys, x), (config.values, 2 * x)))
+        w = np.exp(k @ x[s].astype(np.float64) / 4)
+        assert np.allclose(got[s], w @ v / w.sum())
+    with pytest.raises(InvalidArgument):
+        attention.CacheConfig(16, 9)
+
+
+def test_rerank_joins_by_shuffle_beyond_the_bound(spark, monkeypatch):
+    rows = vectors(spark, [(str(i), [i, 1, 0]) for i in range(30)])
+    asked = spark.createDataFrame([("a", [1.0, 0.0, 0.0]), ("b", [-1.0, 0.0, 0.0])], "query_id string, values array<double>")
+    found = search.exact(rows, asked, 3, 8)
+    before = search.rerank(found, rows, asked, 3, 8).collect()
+    monkeypatch.setattr(search, "MAX_SENT_ROWS", 0)
+    assert search.rerank(found, rows, asked, 3, 8).collect() == before and [r["id"] for r in before if r["query_id"] == "a"] == ["29", "28", "27"]

@@ -293,7 +293,7 @@ class Collection:
             both = S.quantized(sealed, queries, self.config.quantizer, opts.effective_k).unionByName(S.exact(plain, queries, dim, opts.effective_k))
             found = S.merge(both.drop("rank"), opts.effective_k)
             if reranked:
-                found = S.merge(reranker(found).drop("rank"), opts.k) if reranker else S.rerank(found, raw, queries, opts.k)
+                found = S.merge(reranker(found).drop("rank"), opts.k) if reranker else S.rerank(found, raw, queries, opts.k, opts.effective_k)
             found = found.where(F.col("rank") <= opts.k)
-        out = live.select("id", "metadata").join(F.broadcast(found), "id").select("query_id", "rank", "id", F.col("score").cast("float").alias("score"), "metadata")
+        out = live.select("id", "metadata").join(S.sent(found, queries.count() * opts.k), "id").select("query_id", "rank", "id", F.col("score").cast("float").alias("score"), "metadata")
         return out.orderBy("query_id", "rank"), SearchPlan(len(m.segments) + bool(m.logs), opts.effective_k, opts.effective_k, reranked, opts.exact, opts.ef_search)

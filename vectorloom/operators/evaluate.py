@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,21 +17,53 @@ def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     return hits.groupBy("query_id").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
 
 
+#: Rows that one task may sort to find a percentile.
+RANKED = 1_000_000
+
+
+def _at_place(df: DataFrame, place: int, n: int) -> float:
+    """The value at a place (from 0) in the order of column ``value``.
+
+    Values around the place are narrowed by approximate quantiles until one task can sort them, or all are equal.
+    """
+    low, high, before = None, None, 0
+    while n > RANKED:
+        span = df.agg(F.min("value"), F.max("value")).first()
+        if span[0] == span[1]:
+            return float(span[0])
+        share, off = (place - before) / n, 0.01
+        a, b = (float(v) for v in df.approxQuantile("value", [max(0.0, share - off), min(1.0, share + off)], 0.001))
+        left, inside = df.agg(F.count(F.when(F.col("value") < a, 1)), F.count(F.when(F.col("value").between(a, b), 1))).first()
+        if left <= place - before < left + inside and inside < n:
+            low, high, before, n = a, b, before + left, inside
+        else:  # a value that fills the bracket, or an estimate beside it: halve by the middle value
+            middle = float(df.approxQuantile("value", [0.5], 0.001)[0])
+            left, same = df.agg(F.count(F.when(F.col("value") < middle, 1)), F.count(F.when(F.col("value") == middle, 1))).first()
+            if place - before < left:
+                df, n = df.where(F.col("value") < middle), left
+            elif place - before < left + same:
+                return middle
+            else:
+                df, before, n = df.where(F.col("value") > middle), before + left + same, n - left - same
+            continue
+        df = df.where(F.col("value").between(low, high))
+    rows = df.orderBy("value").limit(place - before + 1).agg(F.max("value")).first()
+    return float(rows[0])
+
+
 def percentiles(df: DataFrame, value: str, at: list[float]) -> DataFrame:
-    """p, value: by nearest rank, halves up, of (n - 1) p."""
-    order = Window.orderBy(value)  # a report over one column of latencies
-    n = df.where(F.col(value).isNotNull()).count()
-    places = {p: int(np.floor((n - 1) * p + 0.5)) for p in at} if n else {}
-    ranked = df.where(F.col(value).isNotNull()).select(F.col(value).alias("value"), (F.row_number().over(order) - 1).alias("at"))
-    want = df.sparkSession.createDataFrame(list(places.items()), "p double, at int")
-    return ranked.join(F.broadcast(want), "at").select("p", "value")
+    """p, value: by nearest rank, halves up, of (n - 1) p; nulls don't count, without values there are no rows."""
+    known = df.select(F.col(value).cast("double").alias("value")).where("value is not null")
+    n = known.count()
+    rows = [(float(p), _at_place(known, int(np.floor((n - 1) * p + 0.5)), n)) for p in at] if n else []
+    return df.sparkSession.createDataFrame(rows, "p double, value double")
 
 
 def latency_report(df: DataFrame, value: str) -> DataFrame:
-    """One row: n, mean, min, p50, p95, p99 and max of a column, by exact percentiles."""
-    q = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    out = df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), q.alias("q"))
-    return out.select("n", "mean", "min", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), F.col("q")[2].alias("p99"), "max")
+    """One row: n, mean, min, p50, p95, p99 and max of a column, by the percentiles above."""
+    ranks = percentiles(df, value, [0.5, 0.95, 0.99]).agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(name) for p, name in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))])
+    out = df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
+    return out.crossJoin(ranks).select("n", "mean", "min", "p50", "p95", "p99", "max")  # one row each
 
 
 def histogram_bucket(value, start: float, count: int) -> Column:

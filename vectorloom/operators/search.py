@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 from vectorloom.errors import InvalidArgument
 from vectorloom.functions.columns import inner_product
 from vectorloom.functions.quantize import ProdQuantizer, Quantizer
-from vectorloom.plans.options import SearchOptions
+from vectorloom.plans.options import MAX_K, SearchOptions
 from vectorloom.runtime import ship
 
 #: Numbers in a query matrix that is sent to all tasks; larger query sets go in blocks.
 MAX_QUERY_NUMBERS = 1 << 23
+#: Candidate rows that may be sent whole to every executor; more are joined by a shuffle.
+MAX_SENT_ROWS = 1_000_000
 
 
 def query_matrix(queries: DataFrame, dim: int) -> tuple[list[str], np.ndarray]:
@@ -118,15 +120,22 @@ def prod(rows: DataFrame, queries: DataFrame, quantizer: ProdQuantizer, k: int,
     return merge(rows.select("id", "codes", "norm", "signs", "residual_norm").mapInArrow(_partial(score, names, k), "query_id string, id string, score double"), k)
 
 
-def rerank(candidates: DataFrame, rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact scores of candidates (query_id, id) from raw vectors, and the best k by them.
+def sent(few: DataFrame, rows: int) -> DataFrame:
+    """A frame of at most ``rows`` rows, marked for broadcast if that is little enough."""
+    return F.broadcast(few) if rows <= MAX_SENT_ROWS else few
 
-    Candidates are at most MAX_K a query of a bounded query set, so they are sent to the raw rows, not these to them.
+
+def rerank(candidates: DataFrame, rows: DataFrame, queries: DataFrame, k: int, per_query: int = MAX_K) -> DataFrame:
+    """Exact scores of candidates (query_id, id), at most ``per_query`` a query, from raw vectors; the best k by them.
+
+    Ids of few candidates are sent to the raw rows; many are joined by a shuffle. The queries' vectors are joined
+    after that, to the candidates' rows alone.
     """
     asked = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("values").alias("asked"))
-    few = candidates.select("query_id", "id").join(F.broadcast(asked), "query_id")
-    scored = rows.select("id", "values").join(F.broadcast(few), "id").select("query_id", "id", inner_product(F.col("values"), F.col("asked")).alias("score"))
-    return merge(scored, k)
+    n = asked.count()
+    few = sent(candidates.select("query_id", "id"), n * per_query)
+    scored = rows.select("id", "values").join(few, "id").join(sent(asked, n * len(asked.columns)), "query_id")
+    return merge(scored.select("query_id", "id", inner_product(F.col("values"), F.col("asked")).alias("score")), k)
 
 
 def search(rows: DataFrame, queries: DataFrame, options: SearchOptions, dim: int, quantizer: Quantizer | None = None, raw: DataFrame | None = None, reranker=None) -> DataFrame:
@@ -137,5 +146,5 @@ def search(rows: DataFrame, queries: DataFrame, options: SearchOptions, dim: int
     if options.rerank and reranker is not None:
         return merge(reranker(found), options.k)
     if options.rerank and raw is not None:
-        return rerank(found, raw, queries, options.k)
+        return rerank(found, raw, queries, options.k, options.effective_k)
     return found.where(F.col("rank") <= options.k)

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectorloom.functions import columns as C
-from vectorloom.functions.quantize import ProdQuantizer, Quantizer
+from vectorloom.functions.quantize import ProdQuantizer, Quantizer, gaussian
 from vectorloom.functions.rotation import signs
-from vectorloom.operators import evaluate, search
+from vectorloom.operators import attention, evaluate, search
 from vectorloom.operators.collection import Collection, Config, Engine
 from vectorloom.plans import filters
 from vectorloom.runtime import Scratch, ship
@@ -230,6 +230,20 @@ def latency_percentiles(spark, sf_dir):
     return evaluate.percentiles(e, "value", [0.5, 0.95, 0.99])
 
 
+def latency_report(spark, sf_dir):
+    return evaluate.latency_report(spark.read.parquet(f"{sf_dir}/events.parquet"), "value").withColumn("mean", F.round("mean", 6))
+
+
+def kv_attention(spark, sf_dir):
+    """Each label's vectors as the keys and values of a sequence, its first vector as the query."""
+    r = _rows(spark, sf_dir).withColumnRenamed("label", "sequence")
+    config = attention.CacheConfig(DIM, 4, 4, seed=SEED)
+    coded = attention.encode(r.select("sequence", F.col("vec_id").alias("position"), F.col("values").alias("key"), F.col("values").alias("value")), config)
+    asked = r.groupBy("sequence").agg(F.min_by("values", "vec_id").alias("query"))
+    out = attention.attention(coded, asked, config).select("sequence", F.posexplode("output").alias("i", "x"))
+    return out.select("sequence", "i", F.round("x", 6).alias("x"))
+
+
 def search_join_labels(spark, sf_dir):
     r = _rows(spark, sf_dir)
     found = search.exact(r, _asked(r), DIM, 10)
@@ -240,7 +254,7 @@ def search_join_labels(spark, sf_dir):
 _OWN = [
     exact_topk_batch, exact_topk_single, vec_norm, vec_normalize, vec_validate, rotate_fwht, rotate_roundtrip, mse_indices, mse_packed_hex, mse_reconstruct, mse_distortion_by_bits,
     quantized_topk_batch, quantized_topk_symmetric, quantized_topk_rerank, recall_at_k, prod_estimate, upsert_latest, snapshot_ids, ids_page, collection_stats, topk_with_tombstones,
-    cdc_transform, cdc_net_ops, filter_dsl, reconcile_diff, reconcile_summary, parse_vector_text, id_coercion, segment_size_estimate, latency_percentiles, search_join_labels,
+    cdc_transform, cdc_net_ops, filter_dsl, reconcile_diff, reconcile_summary, parse_vector_text, id_coercion, segment_size_estimate, latency_percentiles, latency_report, kv_attention, search_join_labels,
 ]
 
 
@@ -282,6 +296,17 @@ def _topk(left: str, right: str, k: int, name: str) -> str:
   SELECT q.vec_id::VARCHAR AS query_id, d.vec_id::VARCHAR AS id, list_dot_product(q.v, d.v) AS score FROM {left} q CROSS JOIN {right} d)) WHERE rank <= {k})"""
 
 
+def _projected() -> str:
+    """dp: reconstruction with the scaled signs of the residual's projection; qp: vector with its projection."""
+    g = gaussian(SEED + 1, DIM, DIM)
+    listed = ", ".join(f"({j}, {i}, {float(g[j, i])!r}::DOUBLE)" for j in range(DIM) for i in range(DIM))
+    return f"""g(j, i, g) AS (VALUES {listed}),
+rest AS (SELECT vec_id, i, x.x - r.x AS d, x.x AS x FROM x JOIN r USING (vec_id, i)), size AS (SELECT vec_id, sqrt(sum(d * d))::FLOAT::DOUBLE AS size FROM rest GROUP BY vec_id),
+pr AS (SELECT vec_id, j, sum(d * g) AS d, sum(x * g) AS x FROM rest JOIN g USING (i) GROUP BY vec_id, j),
+pl AS (SELECT vec_id, list(CASE WHEN d >= 0 THEN 1 ELSE -1 END * sqrt(pi() / 2) / {DIM} * size ORDER BY j) AS s, list(x ORDER BY j) AS p FROM pr JOIN size USING (vec_id) GROUP BY vec_id),
+dp AS (SELECT vec_id, list_concat(v, s) AS v FROM rec JOIN pl USING (vec_id)), qp AS (SELECT vec_id, list_concat(v, p) AS v FROM raw JOIN pl USING (vec_id))"""
+
+
 _RAW = "raw AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)"
 _REC = "rec AS (SELECT vec_id, list(x ORDER BY i) AS v FROM r GROUP BY vec_id)"
 _SHOWN = "SELECT query_id, rank::INTEGER AS rank, id, round(score, 6) AS score FROM"
@@ -328,6 +353,13 @@ def oracle_sql() -> dict[str, str]:
         "segment_size_estimate": "SELECT label, (count(*) * (32 + 4 + 24))::BIGINT AS bytes FROM embeddings GROUP BY label",
         "latency_percentiles": """WITH r AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS place FROM events WHERE value IS NOT NULL), n AS (SELECT count(*) AS n FROM r)
 SELECT p, value FROM r, n, (VALUES (0.5::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) t(p) WHERE place = floor((n - 1) * p + 0.5)""",
+        "latency_report": """WITH r AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS place, count(*) OVER () AS n FROM events WHERE value IS NOT NULL)
+SELECT count(*) AS n, round(avg(value), 6) AS mean, min(value) AS min, max(value) FILTER (place = floor((n - 1) * 0.5 + 0.5)) AS p50, max(value) FILTER (place = floor((n - 1) * 0.95 + 0.5)) AS p95,
+  max(value) FILTER (place = floor((n - 1) * 0.99 + 0.5)) AS p99, max(value) AS max FROM r""",
+        "kv_attention": f"""{coded}, {best}, q AS (SELECT label, arg_min(embedding, vec_id)::DOUBLE[] AS q FROM embeddings GROUP BY label),
+w AS (SELECT vec_id, label, exp(list_dot_product(v, q) / 8) AS w FROM rec JOIN embeddings USING (vec_id) JOIN q USING (label))
+SELECT label AS sequence, i::INTEGER AS i, round(sum(w * x) / sum(w), 6) AS x FROM w JOIN r USING (vec_id) GROUP BY label, i""",
+        "prod_estimate": f"WITH {base}, {_rotated(True)}, {_coded(3)}, {_REC}, {_RAW}, {_projected()}, {_topk('qp', 'dp', 10, 'f')} {_SHOWN} f",
         "search_join_labels": f"WITH {_RAW}, {_topk('raw', 'raw', 10, 'f')} SELECT q.label, count(*) AS n, sum((q.label = d.label)::BIGINT)::BIGINT AS same FROM f JOIN embeddings q ON q.vec_id = query_id::BIGINT JOIN embeddings d ON d.vec_id = id::BIGINT GROUP BY q.label",
     }
     source = """s AS (SELECT doc_id::VARCHAR AS id, doc_id % 11 <> 0 AS good FROM documents WHERE doc_id % 4 <> 0 AND doc_id % 9 <> 0 AND lang <> 'fr'),

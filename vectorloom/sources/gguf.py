@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition
 from pyspark.sql.types import StructType
 
 from vectorloom.errors import CorruptFile, InvalidArgument
+from vectorloom.functions import packing
 from vectorloom.sources import safetensors
+from vectorloom.sources.writing import TensorWriter
 
 # Fixed values of the format: metadata kinds, and tensor types with (block length, block bytes).
 SCALARS = {0: "<B", 1: "<b", 2: "<H", 3: "<h", 4: "<I", 5: "<i", 6: "<f", 7: "<?", 10: "<Q", 11: "<q", 12: "<d"}
 STRING, ARRAY = 8, 9
 TYPES = {0: ("F32", 1, 4), 1: ("F16", 1, 2), 2: ("Q4_0", 32, 18), 3: ("Q4_1", 32, 20), 8: ("Q8_0", 32, 34)}
 MAX_COUNT, MAX_STRING = 1 << 20, 1 << 26
+ALIGN, BLOCK = 32, 32
 
 
 class _Cursor:
@@ -96,8 +100,8 @@ def dequantize(raw: bytes, kind: int) -> np.ndarray:
     return (scale * (nibbles - 8)).ravel() if name == "Q4_0" else (scale * nibbles + half(block[:, 2:4])).ravel()
 
 
-def write(path: str, tensors: dict[str, np.ndarray], metadata: dict[str, object] | None = None, align: int = 32) -> None:
-    """float32 and float16 arrays in the given order; str, bool, int, float metadata."""
+def _head(infos: list[tuple[str, list[int], int, int]], metadata: dict[str, object] | None, align: int) -> bytes:
+    """The padded header of tensors (name, shape, kind, offset); str, bool, int, float metadata."""
 
     def text(s: str) -> bytes:
         return struct.pack("<Q", len(s.encode())) + s.encode()
@@ -107,19 +111,58 @@ def write(path: str, tensors: dict[str, np.ndarray], metadata: dict[str, object]
         return struct.pack("<I", kind) + (text(v) if kind == STRING else struct.pack(SCALARS[kind], v))
 
     meta = {"general.alignment": align, **(metadata or {})}
-    head = b"GGUF" + struct.pack("<IQQ", 3, len(tensors), len(meta))
+    head = b"GGUF" + struct.pack("<IQQ", 3, len(infos), len(meta))
     for k, v in meta.items():
         head += text(k) + (struct.pack("<II", 4, v) if k == "general.alignment" else value(v))
-    at, body = 0, []
+    for name, shape, kind, at in infos:
+        head += text(name) + struct.pack("<I", len(shape)) + b"".join(struct.pack("<Q", d) for d in reversed(shape)) + struct.pack("<IQ", kind, at)
+    return head + b"\0" * (-len(head) % align)
+
+
+def write(path: str, tensors: dict[str, np.ndarray], metadata: dict[str, object] | None = None, align: int = 32) -> None:
+    """float32 and float16 arrays in the given order."""
+    at, infos, body = 0, [], []
     for name, a in tensors.items():
-        kind = {"float32": 0, "float16": 1}[a.dtype.name]
-        head += text(name) + struct.pack("<I", a.ndim) + b"".join(struct.pack("<Q", d) for d in reversed(a.shape)) + struct.pack("<IQ", kind, at)
+        infos.append((name, list(a.shape), {"float32": 0, "float16": 1}[a.dtype.name], at))
         raw = np.ascontiguousarray(a).tobytes()
         raw += b"\0" * (-len(raw) % align)
         body.append(raw)
         at += len(raw)
     with open(path, "wb") as f:
-        f.write(head + b"\0" * (-len(head) % align) + b"".join(body))
+        f.write(_head(infos, metadata, align) + b"".join(body))
+
+
+def _one_tensor(kind: int, name: str, rows: int, dim: int, ids: list[str] | None) -> bytes:
+    return _head([(name, [rows, dim], kind, 0)], None, ALIGN)
+
+
+def block_bytes(bits: int) -> int:
+    """Bytes of a block of codes: half-precision norm, 16-bit seed offset, 32 packed codes."""
+    if not 1 <= bits <= 8:
+        raise InvalidArgument("bit width from 1 to 8")
+    return 4 + BLOCK * bits // 8
+
+
+def encode_blocks(norms: np.ndarray, offsets: np.ndarray, codes: np.ndarray, bits: int) -> bytes:
+    """Blocks of (rows, 32) codes with a norm and a seed offset each."""
+    codes = np.asarray(codes)
+    if codes.ndim != 2 or codes.shape[1] != BLOCK:
+        raise InvalidArgument(f"a block has {BLOCK} codes")
+    out = np.empty((len(codes), block_bytes(bits)), np.uint8)
+    out[:, :2] = np.asarray(norms, "<f2").reshape(-1, 1).view(np.uint8)
+    out[:, 2:4] = np.asarray(offsets, "<u2").reshape(-1, 1).view(np.uint8)
+    out[:, 4:] = packing.pack(codes, bits)
+    return out.tobytes()
+
+
+def decode_blocks(raw: bytes, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(norms, seed offsets, codes) of whole blocks."""
+    width = block_bytes(bits)
+    if len(raw) % width:
+        raise CorruptFile(f"a block has {width} bytes")
+    block = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    norms = np.ascontiguousarray(block[:, :2]).view("<f2").astype(np.float32).ravel()
+    return norms, np.ascontiguousarray(block[:, 2:4]).view("<u2").ravel(), packing.unpack(np.ascontiguousarray(block[:, 4:]), bits, BLOCK)
 
 
 def convert(source: str, target: str) -> None:
@@ -185,7 +228,10 @@ class GgufReader(DataSourceReader):
 
 
 class GgufSource(DataSource):
-    """``format("gguf")``: rows (row, values) of the tensor named by option ``tensor``; mode=inspect lists."""
+    """``format("gguf")``: rows (row, values) of the tensor named by option ``tensor``; mode=inspect lists.
+
+    Writing (values) makes one file of that tensor, as F32, or as F16 by option ``dtype``.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -197,6 +243,10 @@ class GgufSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return GgufReader(dict(self.options))
 
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        half = self.options.get("dtype", "F32") == "F16"
+        return TensorWriter(dict(self.options), schema, overwrite, functools.partial(_one_tensor, int(half)), half=half, pad=ALIGN, keep_ids=False)
+
 
 def register(spark) -> None:
     """Both formats in a session."""

@@ -9,10 +9,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition
 from pyspark.sql.types import StructType
 
 from vectorloom.errors import CorruptFile, InvalidArgument
+from vectorloom.sources.writing import TensorWriter
 
 MAX_HEADER = 100 << 20
 SIZES = {"F64": 8, "F32": 4, "F16": 2, "BF16": 2, "I64": 8, "I32": 4, "I16": 2, "I8": 1, "U8": 1, "BOOL": 1}
@@ -82,18 +83,27 @@ def pick(names: list[str], wanted: str | None, required: bool = False) -> str:
     return names[0]
 
 
+def _head(tensors: dict[str, dict], metadata: dict[str, str] | None) -> bytes:
+    raw = json.dumps(({"__metadata__": dict(sorted(metadata.items()))} if metadata else {}) | tensors).encode()
+    raw += b" " * (-len(raw) % 8)
+    if len(raw) > MAX_HEADER:
+        raise InvalidArgument("a header has at most 100 MB: write parts, or leave out ids")
+    return struct.pack("<Q", len(raw)) + raw
+
+
+def _one_tensor(name: str, rows: int, dim: int, ids: list[str] | None) -> bytes:
+    return _head({name: {"dtype": "F32", "shape": [rows, dim], "data_offsets": [0, rows * dim * 4]}}, None if ids is None else {"ids": "\n".join(ids)})
+
+
 def write(path: str, tensors: dict[str, np.ndarray], metadata: dict[str, str] | None = None) -> None:
     """Arrays in order of name."""
     kinds = {"float64": "F64", "float32": "F32", "float16": "F16", "int64": "I64", "int32": "I32", "int16": "I16", "int8": "I8", "uint8": "U8", "bool": "BOOL"}
-    header: dict[str, object] = {"__metadata__": dict(sorted(metadata.items()))} if metadata else {}
-    at = 0
+    header, at = {}, 0
     for name, a in sorted(tensors.items()):
         header[name] = {"dtype": kinds[a.dtype.name], "shape": list(a.shape), "data_offsets": [at, at + a.nbytes]}
         at += a.nbytes
-    raw = json.dumps(header).encode()
-    raw += b" " * (-len(raw) % 8)
     with open(path, "wb") as f:
-        f.write(struct.pack("<Q", len(raw)) + raw)
+        f.write(_head(header, metadata))
         for _, a in sorted(tensors.items()):
             f.write(np.ascontiguousarray(a).tobytes())
 
@@ -139,7 +149,10 @@ class SafetensorsReader(DataSourceReader):
 
 
 class SafetensorsSource(DataSource):
-    """``format("safetensors")``: rows (row, values) of one tensor; option mode=inspect lists tensors and metadata."""
+    """``format("safetensors")``: rows (row, values) of one tensor; option mode=inspect lists tensors and metadata.
+
+    Writing (values[, id]) makes one file of tensor ``vectors`` (option ``tensor``) with ids in its metadata.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -151,6 +164,9 @@ class SafetensorsSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return SafetensorsReader(dict(self.options))
 
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        return TensorWriter(dict(self.options), schema, overwrite, _one_tensor, half=False, pad=1, keep_ids=True)
+
 
 def export(rows: DataFrame, path: str, parameters: dict[str, str] | None = None, most: int = 1 << 26) -> int:
     """One file of tensor ``vectors`` and ids in its metadata, from (id, values) in id order.
