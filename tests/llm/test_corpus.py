@@ -77,6 +77,17 @@ def test_contextual_pii(spark):
     assert pii.find(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [1 << 16, 0])
+def test_contextual_pii_beside_copies(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(pii, "MAX_BROADCAST", broadcast)
+    seeds = [(100 + i, f"please write mail to x{i}@ex{i}.org soon thanks") for i in range(12)]
+    texts = seeds + [(1, "footer info@site.org " * 16000), (300, "please write mail to root@localhost soon thanks"), (301, "plain root@localhost2 text")]
+    got = {r["doc_id"]: r for r in pii.find(docs(spark, texts)).collect()}
+    assert got[1]["n_email"] == 16000 and got[300]["spans"] == "email:21:35" and got[301]["spans"] == ""
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs(spark, texts)).collect()}
+    assert clean[300] == "please write mail to <email> soon thanks"
+
+
 def test_maxscore(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(0, 0.3, (400, 16)).astype(np.float32)

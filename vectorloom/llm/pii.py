@@ -7,8 +7,9 @@ identifier, else it counts against the pattern. Spark then scores the graph of p
 pattern's confidence for a kind is the share of its fillers' scores, an instance's score is the noisy-or of its
 confident patterns; seeds keep the score 1 for their kind. Instances of high score are new spans.
 
-Bound: a pattern must be induced by at least MIN_SHARE of a kind's seed occurrences (and MIN_SEEDS different
-ones), so there are at most 3 / MIN_SHARE patterns a kind however large the corpus; they are broadcast.
+A pattern is kept if MIN_SEEDS different seeds of a kind induce it, however large the corpus. Up to MAX_BROADCAST
+patterns are sent to every task; beyond, tasks get a sketch of fixed size that misses none of them, and what passes
+it is joined with the table of patterns.
 
 Edge cases: a null or empty text has no spans; offsets are code points, the end is exclusive; new spans never
 overlap base ones; of new spans that overlap, kind order and start decide; rows that repeat get the same spans;
@@ -21,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +30,9 @@ from pyspark.sql import functions as F
 from vectorloom.runtime import Scratch, ship
 
 KINDS = ("email", "ip", "card", "phone")
-MIN_SEEDS, MIN_SHARE, CONFIDENT, ACCEPT, ROUNDS = 3, 0.001, 0.5, 0.8, 3
+MIN_SEEDS, CONFIDENT, ACCEPT, ROUNDS = 3, 0.5, 0.8, 3
+#: Patterns sent to every task; bits of their sketch beyond that, and of one part of it; counts and words a task holds.
+MAX_BROADCAST, SKETCH_BITS, _PART_BITS, HELD = 1 << 16, 27, 17, 1 << 17
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
@@ -148,19 +152,88 @@ def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rid"), pa.array(base, _SPAN_TYPE), pa.array(context, seeds)], ["doc_id", "rid", "base", "context"])
 
 
-def _second(patterns: list[str]):
-    """Fillers of the patterns' slots: identifier-like ones one by one, all others as counts."""
-    wanted = set(patterns)
+def _place(key: str, bits: int) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(key) >> (64 - bits)
+
+
+def _sketch_parts(bits: int):
+    """Set bits of a sketch of patterns and their first words, in parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros(1 << bits, bool)
+        for b in batches:
+            for p in b.column("pat").to_pylist():
+                flags[_place(p, bits)] = flags[_place(p.split(" ")[1], bits)] = True
+        parts = [(k, flags[k << _PART_BITS : (k + 1) << _PART_BITS]) for k in range(-(-len(flags) >> _PART_BITS))]
+        parts = [(k, np.packbits(f, bitorder="little").tobytes()) for k, f in parts if f.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int64()), pa.array([f for _, f in parts], pa.binary())], ["part", "flags"])
+
+    return run
+
+
+def _sketch_or(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    whole = np.bitwise_or.reduce([np.frombuffer(f, np.uint8) for f in table.column("flags").to_pylist()])
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "flags": pa.array([whole.tobytes()], pa.binary())})
+
+
+def _sketch(held: DataFrame, n: int):
+    """The broadcast sketch of n patterns and its bits; at most 2 ** SKETCH_BITS bits, of which the driver joins the parts."""
+    bits = min(SKETCH_BITS, max(16, (8 * n).bit_length()))
+    parts = held.mapInArrow(_sketch_parts(bits), "part long, flags binary").groupBy("part").applyInArrow(_sketch_or, "part long, flags binary")
+    whole = bytearray(1 << (bits - 3))
+    for r in parts.collect():
+        at = r["part"] << (_PART_BITS - 3)
+        whole[at : at + len(r["flags"])] = r["flags"]
+    return held.sparkSession.sparkContext.broadcast(bytes(whole)), bits
+
+
+class _MayHold:
+    """Containers of first words and patterns by a sketch: hold all that were put in, and some more."""
+
+    def __init__(self, flags: bytes, bits: int, prefix: str = ""):
+        self.flags, self.bits, self.prefix, self.known = flags, bits, prefix, {}
+
+    def __contains__(self, word: str) -> bool:
+        got = self.known.get(word)
+        if got is None:
+            if len(self.known) >= HELD:
+                self.known.clear()
+            at = _place(self.prefix + word, self.bits)
+            got = self.known[word] = bool(self.flags[at >> 3] >> (at & 7) & 1)
+        return got
+
+    def isdisjoint(self, words: list[str]) -> bool:
+        return not any(w in self for w in words)
+
+    def get(self, first: str, none=()) -> _MayHold:
+        return _MayHold(self.flags, self.bits, f"{self.prefix}{first} ")
+
+
+def _exact(patterns: list[str]):
+    """The first words of patterns, and for each form the second words by the first."""
     by = {form: {} for form in "ABC"}
     for p in patterns:
         form, x, y = p.split(" ")
         by[form].setdefault(x, set()).add(y)
+    return by["A"].keys() | by["B"].keys() | by["C"].keys(), by
+
+
+def _second(lookup):
+    """Fillers of the patterns' slots: identifier-like ones one by one, all others as counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         against: Counter[str] = Counter()
         names = ["rid", "pat", "inst", "k", "s", "e", "n"]
         types = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        firsts = by["A"].keys() | by["B"].keys() | by["C"].keys()
+        firsts, by = lookup()
+
+        def counts():
+            n = len(against)
+            cols = [[None] * n, list(against), [None] * n, [None] * n, [None] * n, [None] * n, list(against.values())]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+
         for b in batches:
             rows: list[tuple] = []
             for rid, text in zip(b.column("rid").to_pylist(), b.column("text").to_pylist(), strict=True):
@@ -180,7 +253,6 @@ def _second(patterns: list[str]):
                     if i and i + 1 < len(words) and words[i + 1] in by["C"].get(w, ()):
                         slots.append((i - 1, f"C {w} {words[i + 1]}"))
                     for slot, pattern in slots:
-                        assert pattern in wanted
                         word = words[slot].strip(_EDGE)
                         if not like_identifier(word):
                             against[pattern] += 1
@@ -195,18 +267,23 @@ def _second(patterns: list[str]):
                         rows.append((rid, pattern, text[s:e], seed, s, e, 1))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+            if len(against) >= HELD:
+                yield counts()
+                against.clear()
         if against:
-            n = len(against)
-            cols = [[None] * n, list(against), [None] * n, [None] * n, [None] * n, [None] * n, list(against.values())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+            yield counts()
 
     return run
 
 
-def score_graph(fillers: DataFrame, scratch: Scratch) -> DataFrame:
-    """(inst, k) of the instances accepted, from (pat, inst, k, n): k is a seed's kind, a null inst other fillers."""
+def score_graph(fillers: DataFrame, scratch: Scratch, few: bool = True) -> DataFrame:
+    """(inst, k) of the instances accepted, from (pat, inst, k, n): k is a seed's kind, a null inst other fillers.
+
+    ``few``: a row a pattern can be broadcast.
+    """
+    small = F.broadcast if few else lambda df: df
     edges = scratch.keep(fillers.groupBy("pat", "inst", "k").agg(F.sum("n").alias("n")), "graph")
-    totals = edges.groupBy("pat").agg(F.sum("n").alias("total"))  # a row a pattern, bounded
+    totals = edges.groupBy("pat").agg(F.sum("n").alias("total"))  # a row a pattern
     seeds = edges.where("k is not null").groupBy("inst", "k").agg(F.lit(1.0).alias("score"))
     open_ = edges.where("k is null and inst is not null").select("pat", "inst", "n")
     kinds = F.explode(F.array(*[F.lit(k) for k in range(len(KINDS))]))
@@ -217,9 +294,9 @@ def score_graph(fillers: DataFrame, scratch: Scratch) -> DataFrame:
             found = open_.join(scores.withColumnRenamed("k", "kind"), "inst").select("pat", "kind", (F.col("n") * F.col("score")).alias("mass"))
             known = known.unionByName(found)
         mass = known.groupBy("pat", "kind").agg(F.sum("mass").alias("mass"))
-        conf = mass.join(F.broadcast(totals), "pat").select("pat", "kind", (F.col("mass") / (F.col("total") + 1)).alias("conf")).where(F.col("conf") >= CONFIDENT)
+        conf = mass.join(small(totals), "pat").select("pat", "kind", (F.col("mass") / (F.col("total") + 1)).alias("conf")).where(F.col("conf") >= CONFIDENT)
         doubt = F.exp(F.sum(F.log(1 - F.least(F.col("conf"), F.lit(0.999)))))
-        scores = scratch.keep(open_.join(F.broadcast(conf), "pat").groupBy("inst", F.col("kind").alias("k")).agg((1 - doubt).alias("score")), "scores")
+        scores = scratch.keep(open_.join(small(conf), "pat").groupBy("inst", F.col("kind").alias("k")).agg((1 - doubt).alias("score")), "scores")
     del kinds
     return scores.where(F.col("score") >= ACCEPT).select("inst", "k")
 
@@ -236,17 +313,25 @@ def _discover(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame |
     slim = _keyed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__vl_rid").alias("rid"), F.col("text").cast("string").alias("text"))
     first = scratch.keep(slim.mapInArrow(_first, f"doc_id long, rid long, base {_SPANS}, context array<struct<k:int,inst:string,pat:string>>"), "base")
     context = first.select(F.explode("context").alias("c")).select("c.k", "c.inst", "c.pat")
-    seeds = {r["k"]: r["n"] for r in first.select(F.explode("base").alias("b")).groupBy("b.k").agg(F.count(F.lit(1)).alias("n")).collect()}
-    need = F.lit(float(MIN_SEEDS))
-    for k, n in seeds.items():
-        need = F.when(F.col("k") == k, F.lit(float(max(MIN_SEEDS, MIN_SHARE * n)))).otherwise(need)
     distinct = context.groupBy("k", "pat", "inst").agg(F.count(F.lit(1)).alias("n")).groupBy("k", "pat").agg(F.count(F.lit(1)).alias("seeds"))
-    held = [r["pat"] for r in distinct.where(F.col("seeds") >= need).select("pat").distinct().collect()]
+    held = scratch.keep(distinct.where(F.col("seeds") >= MIN_SEEDS).select("pat").distinct(), "patterns")
     base = first.select("doc_id", "rid", "base")
-    if not held:
+    n = held.count()
+    if not n:
         return base, None
-    fillers = scratch.keep(slim.select("rid", "text").mapInArrow(_second(sorted(held)), "rid long, pat string, inst string, k int, s long, e long, n long"), "fillers")
-    taken = score_graph(fillers, scratch)
+    few = n <= MAX_BROADCAST
+    if few:
+        patterns = [r["pat"] for r in held.collect()]
+        lookup = lambda: _exact(patterns)
+    else:
+        flags, bits = _sketch(held, n)
+
+        def lookup():
+            return _MayHold(flags.value, bits), {form: _MayHold(flags.value, bits, f"{form} ") for form in "ABC"}
+
+    slots = slim.select("rid", "text").mapInArrow(_second(lookup), "rid long, pat string, inst string, k int, s long, e long, n long")
+    fillers = scratch.keep(slots if few else slots.join(held, "pat", "left_semi").select(*slots.columns), "fillers")
+    taken = score_graph(fillers, scratch, few)
     spots = fillers.where("k is null and inst is not null").select("rid", "inst", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"))
     may = F.when(F.col("k") == 0, F.col("inst").rlike("^.+@.+$")).otherwise(F.col("inst").rlike("[0-9]"))
     spots = spots.join(taken, "inst").where(may).select("rid", F.struct(F.col("k").cast("int").alias("k"), "s", "e").alias("x")).distinct()
