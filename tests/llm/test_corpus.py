@@ -306,6 +306,28 @@ def test_image_copies(spark):
     assert image_copies.image_copies(df.limit(0)).count() == 0
 
 
+def brute_copies(pictures):
+    both = [image_copies.describe(p[None])[0] for p in pictures]
+    both = [(c, np.unpackbits(d, axis=1).astype(np.float32) * 2 - 1) for c, d in both]
+    hit = image_copies.match_blocks(both, both)
+    hit |= hit.T
+    np.fill_diagonal(hit, False)
+    return hit.sum(axis=1)
+
+
+@pytest.mark.parametrize("wide", [128, 2])
+def test_image_copies_with_shared_tiles(spark, monkeypatch, wide):
+    monkeypatch.setattr(image_copies, "WIDE", wide)
+    rng = np.random.default_rng(9)
+    bank = rng.integers(0, 255, (40, 8, 8)).repeat(4, axis=1).repeat(4, axis=2).astype(np.uint8)
+    pictures = [np.block([[bank[rng.integers(8 * (3 * y + x) % 33, 8 * (3 * y + x) % 33 + 7)] for x in range(3)] for y in range(3)]) for _ in range(60)]
+    rows = [(i, 96, 96, bytearray(p.tobytes())) for i, p in enumerate(pictures)]
+    df = spark.createDataFrame(rows, "id long, width int, height int, pixels binary").repartition(8)
+    got = {r["id"]: r["n_links"] for r in image_copies.image_copies(df).collect()}
+    want = brute_copies(pictures)
+    assert want.sum() > 60 and [got[i] for i in range(60)] == want.tolist()
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

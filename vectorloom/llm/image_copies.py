@@ -2,10 +2,9 @@
 
 Each image gets corners at two scales, an orientation from the centroid of brightness around each, and 256
 binary brightness tests in the turned frame. Equal images are one class from here on. Descriptors are cut into
-tables: two descriptors within the allowed Hamming distance that agree on a whole table meet by hash range. A
-map task sends a table value once, with its smallest image, and casts the others' votes for it itself, so a
-common value costs a row a task. Images with MIN_VOTES or more values in common are linked to candidate clusters,
-which are cut into blocks of bounded size; two blocks meet
+tables: two descriptors that agree on a whole table meet by hash range. Two images with one table value in common
+are a candidate pair; the holders of a value are cut into blocks of bounded size, so every pair of them is made,
+none by way of a third image. The pairs' clusters are cut into blocks too; two blocks with a candidate pair meet
 in a task that takes all Hamming distances of their descriptors by one matrix product, keeps mutual nearest
 matches, and asks for geometric consensus: enough matches must agree on one turn, scale and shift. Only links a
 class and a spanning forest leave the task.
@@ -25,13 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectorloom.llm.components import connected_components
-from vectorloom.llm.ngram_join import BROADCAST_ROWS, _blob, _cut, _emit, _flushes, _forest
+from vectorloom.llm.ngram_join import BROADCAST_ROWS, _blob, _cut, _emit, _flushes, _forest, _pairs
 from vectorloom.runtime import Scratch, ship
 
 CORNERS = (16, 8)
 RADIUS, BITS, TABLES, TABLE_BITS, TURNS = 6, 256, 6, 42, 32
-#: A corner casts TABLES votes at most, so two images need two corners in common at least, a shared mark isn't enough.
-MAX_DISTANCE, MIN_AGREE, MIN_VOTES, BLOCK = 48, 4, TABLES + 4, 96
+#: Holders of a table value that meet in one task, and pairs that a task holds before it drops repeats.
+WIDE, HELD = 128, 1 << 22
+MAX_DISTANCE, MIN_AGREE, BLOCK = 48, 4, 96
 _MARGIN = RADIUS + 2
 
 
@@ -180,16 +180,6 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, ["id", "hi", "lo", "n", "corners", "bits"])
 
 
-def _votes(h: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Each key once with its smallest owner, and (other owner, that owner, keys in common)."""
-    o = np.lexsort((own, h))
-    h, own = h[o], own[o]
-    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
-    least = np.repeat(own[first], np.diff(np.r_[first, len(h)]))
-    pairs, n = np.unique(np.stack((own, least), axis=1)[own != least], axis=0, return_counts=True)
-    return h[first], own[first], pairs[:, 0], pairs[:, 1], n.astype(np.int64)
-
-
 def _parts(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def take(b):
@@ -197,24 +187,70 @@ def _parts(buckets: int):
                 yield cid, np.unique(table_keys(np.frombuffer(raw, np.uint8).reshape(-1, BITS // 8)))
 
         for h, own in _flushes(batches, take):
-            h, own, *votes = _votes(h, own)
-            bucket, cols = [], [[] for _ in range(5)]
+            o = np.argsort(h, kind="stable")
+            h, own = h[o], own[o]
+            bucket, cols = [], [[], []]
             for k, parts in _cut(h, buckets, h, own):
                 bucket.append(k)
-                for c, p in zip(cols, [*parts, b"", b"", b""], strict=True):
+                for c, p in zip(cols, parts, strict=True):
                     c.append(p)
-            for j in range(0, len(votes[0]), 1 << 16):
-                bucket.append(int(votes[0][j]) % buckets)
-                for c, p in zip(cols, [b"", b"", *(v[j : j + (1 << 16)].tobytes() for v in votes)], strict=True):
-                    c.append(p)
-            yield _emit(bucket, cols, ["h", "own", "a", "b", "n"])
+            yield _emit(bucket, cols, ["h", "own"])
 
     return run
 
 
-def _tally(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    _, _, *votes = _votes(_blob(table, "h", "<u8"), _blob(table, "own", "<i8"))
-    return pa.table({c: pa.array(np.concatenate((v, _blob(table, c, "<i8"))), pa.int64()) for c, v in zip("abn", votes, strict=True)})
+def _holders(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """All pairs (a < b) of holders of one value; of values with more than WIDE holders the holders (a) and the value."""
+    h, own = _pairs(_blob(table, "h", "<u8"), _blob(table, "own", "<i8"))
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
+    n = np.diff(np.r_[first, len(h)])
+    found, held = [np.empty((0, 2), np.int64)], 0
+    for m in np.unique(n[(n > 1) & (n <= WIDE)]).tolist():
+        i, j = np.triu_indices(m, 1)
+        starts = first[n == m]
+        step = max(1, HELD // len(i))
+        for at in range(0, len(starts), step):
+            group = own[starts[at : at + step, None] + np.arange(m)]  # in order of owner
+            found.append(np.stack((group[:, i].ravel(), group[:, j].ravel()), axis=1))
+            held += len(found[-1])
+            if held >= HELD:
+                found = [np.unique(np.concatenate(found), axis=0)]
+                held = 0
+    pairs = np.unique(np.concatenate(found), axis=0)
+    wide = np.repeat(n > WIDE, n)
+    none = lambda k: pa.nulls(k, pa.int64())
+    a = pa.array(np.concatenate((pairs[:, 0], own[wide])), pa.int64())
+    b = pa.concat_arrays([pa.array(pairs[:, 1], pa.int64()), none(int(wide.sum()))])
+    return pa.table({"a": a, "b": b, "h": pa.concat_arrays([none(len(pairs)), pa.array(h[wide].view(np.int64), pa.int64())])})
+
+
+def _wide_pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    own, block = table.column("a").to_numpy(), table.column("block").to_numpy()
+    x, y = own[block == key[1].as_py()], own[block == key[2].as_py()]
+    a, b = np.repeat(x, len(y)), np.tile(y, len(x))
+    one = a < b if key[1] == key[2] else a != b
+    return pa.table({"a": pa.array(np.minimum(a, b)[one], pa.int64()), "b": pa.array(np.maximum(a, b)[one], pa.int64())})
+
+
+def _in_blocks(df: DataFrame) -> DataFrame:
+    """Rows with ``block`` of ``blocks``, once for each block that theirs meets."""
+    df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return df.withColumns({"left_block": F.least("block", "other"), "right_block": F.greatest("block", "other")})
+
+
+def _block(column: str) -> F.Column:
+    return F.pmod(F.xxhash64(column), F.col("blocks")).cast("int")
+
+
+def candidate_pairs(sets: DataFrame, buckets: int, scratch: Scratch) -> DataFrame:
+    """(a, b), a < b: all pairs of ``sets`` (cid, bits) with a table value in common."""
+    entries = sets.select("cid", "bits").mapInArrow(_parts(buckets), "bucket long, h binary, own binary")
+    met = scratch.keep(entries.groupBy("bucket").applyInArrow(_holders, "a long, b long, h long"), "holders")
+    wide = met.where("b is null").select("h", "a")
+    sizes = wide.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / WIDE).cast("int").alias("blocks"))
+    wide = _in_blocks(wide.join(sizes, "h").withColumn("block", _block("a")))
+    wide = wide.select("h", "left_block", "right_block", "block", "a").groupBy("h", "left_block", "right_block").applyInArrow(_wide_pairs, "a long, b long")
+    return scratch.keep(met.where("b is not null").select("a", "b").unionByName(wide).distinct(), "pairs")
 
 
 def match_blocks(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -279,22 +315,21 @@ def image_copies(images: DataFrame) -> DataFrame:
         sets = sets.dropDuplicates(["cid", "bits"])
     total = int(sets.agg(F.sum("n")).first()[0] or 0)
     buckets = max(128, TABLES * total >> 19)
-    stars = sets.select("cid", "bits").mapInArrow(_parts(buckets), "bucket long, h binary, own binary, a binary, b binary, n binary")
-    votes = stars.groupBy("bucket").applyInArrow(_tally, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    clusters = connected_components(votes.where(F.col("n") >= MIN_VOTES).select("a", "b"), scratch)
+    pairs = candidate_pairs(sets, buckets, scratch)
+    clusters = connected_components(pairs, scratch)
 
     sizes = clusters.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    in_cluster = clusters.select(F.col("v").alias("cid"), F.col("label").alias("cluster"))
-    members = sets.join(F.broadcast(in_cluster) if clusters.count() <= BROADCAST_ROWS else in_cluster, "cid")
-    members = members.join(sizes.withColumnRenamed("label", "cluster"), "cluster")
-    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    met = members.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    in_cluster = clusters.select(F.col("v").alias("a"), F.col("label").alias("cluster")).join(sizes.withColumnRenamed("label", "cluster"), "cluster")
+    met = pairs.join(F.broadcast(in_cluster) if clusters.count() <= BROADCAST_ROWS else in_cluster, "a")
+    met = met.withColumns({"left": _block("a"), "right": _block("b")})
     batches = max(64, total // (BLOCK * sum(CORNERS)))
     met = met.withColumns({
-        "left_block": F.least("block", "other"), "right_block": F.greatest("block", "other"),
+        "left_block": F.least("left", "right"), "right_block": F.greatest("left", "right"),
         "task": F.when(F.col("blocks") == 1, -1 - F.pmod(F.xxhash64("cluster"), F.lit(batches))).otherwise(F.col("cluster")),
+        "member": F.explode(F.array(F.struct(F.col("a").alias("cid"), F.col("left").alias("block")), F.struct(F.col("b").alias("cid"), F.col("right").alias("block")))),
     })
-    met = met.select("task", "left_block", "right_block", "cluster", "block", "cid", "cnt", "corners", "bits")
+    met = scratch.keep(met.select("task", "left_block", "right_block", "cluster", "member.block", "member.cid").distinct(), "met")
+    met = sets.join(F.broadcast(met) if met.count() <= BROADCAST_ROWS else met, "cid").select("task", "left_block", "right_block", "cluster", "block", "cid", "cnt", "corners", "bits")
     found = scratch.keep(met.groupBy("task", "left_block", "right_block").applyInArrow(_evaluate, "a long, b long, links long"), "links")
     joined = connected_components(found.select("a", "b"), scratch).select(F.col("v").alias("cid"), F.col("label").alias("component_id"))
     links = found.groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
