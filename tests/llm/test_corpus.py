@@ -328,6 +328,20 @@ def test_image_copies_with_shared_tiles(spark, monkeypatch, wide):
     assert want.sum() > 60 and [got[i] for i in range(60)] == want.tolist()
 
 
+def test_small_crops_of_large_images(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    large = [rng.integers(0, 255, (96, 96)).repeat(4, axis=0).repeat(4, axis=1).astype(np.uint8) for _ in range(6)]
+    crops = [p[y : y + 110, x : x + 120] for p, (y, x) in zip(large, rng.integers(0, 260, (6, 2)).tolist(), strict=True)]
+    rows = [(i, *p.shape[::-1], bytearray(p.tobytes())) for i, p in enumerate(large + crops)]
+    df = spark.createDataFrame(rows, "id long, width int, height int, pixels binary").repartition(3)
+    got = {r["id"]: r["component_id"] for r in image_copies.image_copies(df).collect()}
+    assert [got[i] for i in range(12)] == [*range(6), *range(6)]
+    both = [(c, np.unpackbits(d, axis=1).astype(np.float32) * 2 - 1) for c, d in (image_copies.describe(p[None])[0] for p in large + crops)]
+    want = image_copies.match_blocks(both, both)
+    monkeypatch.setattr(image_copies, "PRODUCT", 5000)
+    assert (image_copies.match_blocks(both, both) == want).all() and want[:6, 6:].diagonal().all()
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

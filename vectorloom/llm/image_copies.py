@@ -27,11 +27,14 @@ from vectorloom.llm.components import connected_components
 from vectorloom.llm.ngram_join import BROADCAST_ROWS, _blob, _cut, _emit, _flushes, _forest, _pairs
 from vectorloom.runtime import Scratch, ship
 
-CORNERS = (16, 8)
+#: The strongest corners kept of each CELL x CELL pixels, at full and half size: their number grows with the area.
+CORNERS, CELL = (16, 8), 96
 RADIUS, BITS, TABLES, TABLE_BITS, TURNS = 6, 256, 6, 42, 32
 #: Holders of a table value that meet in one task, and pairs that a task holds before it drops repeats.
 WIDE, HELD = 128, 1 << 22
 MAX_DISTANCE, MIN_AGREE, BLOCK = 48, 4, 96
+#: Distances that a task holds at a time.
+PRODUCT = 1 << 26
 _MARGIN = RADIUS + 2
 
 
@@ -103,10 +106,13 @@ def describe(stack: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         inner = (slice(None), slice(_MARGIN, h - _MARGIN), slice(_MARGIN, w - _MARGIN))
         peak[inner] = (r == _highest(r))[inner] & (r > 1e3)[inner]
         image, y, x = np.nonzero(peak)
-        order = np.lexsort((x, y, -r[image, y, x], image))
+        side = CELL >> octave
+        across = -(-w // side)
+        cell = (image * -(-h // side) + y // side) * across + x // side
+        order = np.lexsort((x, y, -r[image, y, x], cell))
+        cell = cell[order]
+        order = order[np.arange(len(cell)) - np.searchsorted(cell, cell) < most]
         image, y, x = image[order], y[order], x[order]
-        rank = np.arange(len(image)) - np.searchsorted(image, image)
-        image, y, x = image[rank < most], y[rank < most], x[rank < most]
         if not len(image):
             continue
         smooth = _box(level, 1)
@@ -253,6 +259,20 @@ def candidate_pairs(sets: DataFrame, buckets: int, scratch: Scratch) -> DataFram
     return scratch.keep(met.where("b is not null").select("a", "b").unionByName(wide).distinct(), "pairs")
 
 
+def _nearest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of +-1 descriptors: each a's nearest b, its distance, and each b's nearest a; PRODUCT distances at a time."""
+    near, back, best = np.empty(len(a), np.int64), np.zeros(len(b), np.int64), np.full(len(b), np.inf)
+    distance = np.empty(len(a), np.float32)
+    step = max(1, PRODUCT // len(b))
+    for at in range(0, len(a), step):
+        d = (BITS - a[at : at + step] @ b.T) / 2
+        near[at : at + step], distance[at : at + step] = d.argmin(axis=1), d.min(axis=1)
+        first, least = d.argmin(axis=0), d.min(axis=0)
+        back[least < best] = at + first[least < best]
+        best = np.minimum(best, least)
+    return near, distance, back
+
+
 def match_blocks(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Which images of two blocks, given as (corners, +-1 descriptors), are copies."""
     out = np.zeros((len(left), len(right)), bool)
@@ -261,13 +281,19 @@ def match_blocks(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np
     for i, (ca, da) in enumerate(left):
         if len(da) < MIN_AGREE:
             continue
-        distance = (BITS - da @ all_right.T) / 2
+        whole = len(da) * len(all_right) <= PRODUCT
+        if whole:
+            distance = (BITS - da @ all_right.T) / 2
         for j in np.flatnonzero(np.diff(at) >= MIN_AGREE).tolist():
-            d = distance[:, at[j] : at[j + 1]]
-            if (d.min(axis=1) <= MAX_DISTANCE).sum() < MIN_AGREE:
-                continue
-            near = d.argmin(axis=1)
-            ok = (d[np.arange(len(d)), near] <= MAX_DISTANCE) & (d.argmin(axis=0)[near] == np.arange(len(d)))
+            if whole:
+                d = distance[:, at[j] : at[j + 1]]
+                if (d.min(axis=1) <= MAX_DISTANCE).sum() < MIN_AGREE:
+                    continue
+                near = d.argmin(axis=1)
+                ok = (d[np.arange(len(d)), near] <= MAX_DISTANCE) & (d.argmin(axis=0)[near] == np.arange(len(d)))
+            else:
+                near, least, back = _nearest(da, right[j][1])
+                ok = (least <= MAX_DISTANCE) & (back[near] == np.arange(len(da)))
             if ok.sum() >= MIN_AGREE:
                 out[i, j] = agreeing(ca[ok], right[j][0][near[ok]]) >= MIN_AGREE
     return out
@@ -318,7 +344,9 @@ def image_copies(images: DataFrame) -> DataFrame:
     pairs = candidate_pairs(sets, buckets, scratch)
     clusters = connected_components(pairs, scratch)
 
-    sizes = clusters.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    corners = sets.select(F.col("cid").alias("v"), "n").groupBy("v").agg(F.max("n").alias("n"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / (BLOCK * sum(CORNERS)))).cast("int")
+    sizes = clusters.join(corners, "v").groupBy("label").agg(blocks.alias("blocks"))
     in_cluster = clusters.select(F.col("v").alias("a"), F.col("label").alias("cluster")).join(sizes.withColumnRenamed("label", "cluster"), "cluster")
     met = pairs.join(F.broadcast(in_cluster) if clusters.count() <= BROADCAST_ROWS else in_cluster, "a")
     met = met.withColumns({"left": _block("a"), "right": _block("b")})
