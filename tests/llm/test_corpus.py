@@ -328,6 +328,22 @@ def test_image_copies_with_shared_tiles(spark, monkeypatch, wide):
     assert want.sum() > 60 and [got[i] for i in range(60)] == want.tolist()
 
 
+def test_image_copies_whose_corners_occur_elsewhere(spark):
+    rng = np.random.default_rng(11)
+    patches = rng.integers(80, 120, (4, 24, 24)).astype(np.uint8)
+    patches[:, 10:15, 10:15] = 255
+    rows = []
+    for i, some in [*((k, [k]) for k in range(4)), (10, range(4)), (11, range(4))]:
+        p = rng.integers(80, 120, (24, 24)).repeat(4, axis=0).repeat(4, axis=1).astype(np.uint8)
+        for k in some:
+            y, x = 12 + 48 * (k // 2), 12 + 48 * (k % 2)
+            p[y : y + 24, x : x + 24] = patches[k]
+        rows.append((i, 96, 96, bytearray(p.tobytes())))
+    df = spark.createDataFrame(rows, "id long, width int, height int, pixels binary").repartition(3)
+    got = {r["id"]: (r["component_id"], r["n_links"]) for r in image_copies.image_copies(df).collect()}
+    assert got == {**{k: (k, 0) for k in range(4)}, 10: (10, 1), 11: (10, 1)}
+
+
 def test_small_crops_of_large_images(spark, monkeypatch):
     rng = np.random.default_rng(10)
     large = [rng.integers(0, 255, (96, 96)).repeat(4, axis=0).repeat(4, axis=1).astype(np.uint8) for _ in range(6)]
