@@ -196,7 +196,10 @@ def test_tokens_are_the_library_s():
 def test_elias_fano(steps):
     values = np.cumsum(np.array(steps, dtype=np.int64))
     ef = token_store.EliasFano.encode(values)
-    assert ef.all().tolist() == values.tolist() and all(ef.select(i) == v for i, v in list(enumerate(values.tolist()))[::37])
+    assert ef.select(np.arange(len(values))).tolist() == values.tolist() and all(int(ef.select(i)) == v for i, v in list(enumerate(values.tolist()))[::37])
+    back, end = token_store.EliasFano.unpack(b"xx" + ef.pack() + b"y", 2, len(values))
+    assert back.select(np.arange(len(values))).tolist() == values.tolist() and end == 2 + len(ef.pack())
+    assert 8 * (ef.low.nbytes + ef.high.nbytes) <= len(values) * (3 + np.log2(1 + int(values[-1]) / len(values))) + 16 if steps else True
 
 
 def test_token_store(spark, monkeypatch):
@@ -213,8 +216,24 @@ def test_token_store(spark, monkeypatch):
 
 def test_segment_documents():
     ids = ids_of(HARD, 2)
-    s = token_store.Segment(token_store.write_segment([5, None, 7, 8, 9], [x.tobytes() for x in ids], 4))
-    assert all((s.document(i) == x).all() for i, x in enumerate(ids)) and s.null.tolist() == [0, 1, 0, 0, 0]
+    named = [None, None, -(1 << 63), 8, (1 << 63) - 1]
+    s = token_store.Segment(token_store.write_segment(named, [x.tobytes() for x in ids], 4))
+    assert all((s.document(i) == x).all() for i, x in enumerate(ids)) and s.doc_ids(np.arange(5)).to_pylist() == named
+    with pytest.raises(IndexError):
+        s.ends.select(5)
+
+
+def test_token_store_with_one_hot_id(spark):
+    texts = [(None, f"no id {i % 40}") for i in range(300)] + [(7, "again and again")] * 300 + [(i, f"text {i}") for i in range(100)]
+    df = docs(spark, texts).repartition(6)
+    got = token_store.store_and_read(df, tokens.vocabulary(), 2, parts=9).orderBy("start").collect()
+    at, sizes = 0, collections.Counter()
+    for r in got:
+        assert r["start"] == at
+        at += r["n_tokens"]
+        sizes[r["doc_id"], r["ids_crc32"]] += 1
+    want = collections.Counter((d, zlib.crc32(x.tobytes())) for (d, _), x in zip(texts, ids_of([t for _, t in texts], 2), strict=True))
+    assert sizes == want and [r["doc_id"] or -1 for r in got] == sorted(d or -1 for d, _ in texts)
 
 
 def test_mixing(spark):
