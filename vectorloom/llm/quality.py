@@ -41,7 +41,7 @@ MAX_WORDS = 600_000
 
 
 def _shape(word: bytes) -> bytes:
-    return _RUN.sub(rb"\1\1", word[:64].translate(_KIND))[:12]
+    return _RUN.sub(rb"\1\1", word.translate(_KIND))
 
 
 class _Numbers(dict):

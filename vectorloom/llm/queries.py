@@ -78,7 +78,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "p_abusive", "p_severe", "p_toxic", "score", "predicted")
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), F.col("p_quality").alias("p_low_quality"), "p_toxic", "score", "predicted")
 
 
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
