@@ -143,6 +143,17 @@ def test_ngram_join(spark, monkeypatch, block):
     assert len({c for _, c, _ in got.values()}) < len(texts)
 
 
+@given(st.lists(st.integers(0, 40), min_size=1, max_size=300), st.integers(1, 6))
+def test_fragments_of_the_order(counts, fragments):
+    counts = np.array(counts, np.uint32)
+    bounds = ngram_join.fragment_bounds(counts, fragments)
+    assert len(bounds) in (0, fragments - 1) and (np.diff(bounds.astype(np.float64)) >= 0).all()
+    many = counts[counts > 1].astype(np.uint64)
+    for k, b in enumerate(bounds.tolist()):  # whole counters before a cut weigh no more than its share, with the cut one no less
+        share = (k + 1) / fragments * int(many.sum())
+        assert many[many < b >> 32].sum() <= share + 1e-6 and many[many <= b >> 32].sum() >= share - 1e-6
+
+
 def test_ngram_join_edges(spark):
     got = ngram_join.ngram_join(docs(spark, AWKWARD)).collect()
     assert len(got) == len(AWKWARD) and [r["component_id"] for r in got if r["doc_id"] is None] == [None]

@@ -8,10 +8,11 @@
 3. The sets of the classes that stay are read again and a sketch of fixed size counts their shingles; (count,
    hash) is the global order, rarest first. Sets that share none of the first ``n - ceil(0.8 n) + 1`` shingles in
    it can't link; the others form candidate clusters.
-4. A cluster is cut into blocks of bounded size. Two blocks meet in a task that cuts the global order into
-   fragments, counts the overlaps of all its pairs in each fragment by itself (a product of two small 0/1
-   matrices) and sums the fragments' counts for each pair. Only the number of links of each class and a spanning
-   forest leave the task, never the pairs.
+4. The global order is cut into FRAGMENTS of equal weight, and every set with it. A cluster is cut into blocks of
+   bounded size. For each two blocks each fragment is a task of its own: it counts the partial overlaps of its pairs
+   (a product of two small 0/1 matrices) and hands on one dense matrix of small numbers. Another stage sums the
+   fragments' matrices for each pair and compares. Only the number of links of each class and a spanning forest leave
+   it, never the pairs.
 5. Components of the links, over classes; copies follow their class.
 
 No step drops, caps or samples: the prefix tests are necessary conditions, the last counts are complete. Sets
@@ -38,6 +39,8 @@ from vectorloom.runtime import Scratch, ship
 
 #: Entries that a map task holds before it sends them; documents and shingles of a block; numbers in a fragment.
 FLUSH, BLOCK_DOCS, BLOCK_SHINGLES, FRAGMENT = 1 << 20, 512, 1 << 20, 1 << 22
+#: Parts of the global order that are counted apart.
+FRAGMENTS = 4
 #: Rows that a broadcast of class ids may have; beyond, the same join is shuffled.
 BROADCAST_ROWS = 1 << 20
 #: Fixed multipliers of the five word positions.
@@ -289,9 +292,11 @@ def _star_edges(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Overlap sizes of all pairs: partial counts of one fragment of the order at a time, summed."""
+    """Overlap sizes of all pairs, a bounded number of shingles at a time."""
     sets = left + right
     flat = np.concatenate(sets)
+    if not len(flat):
+        return np.zeros((len(left), len(right)))
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, col, n = np.unique(flat, return_inverse=True, return_counts=True)
     both = n > 1
@@ -327,29 +332,98 @@ def _forest(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return root
 
 
-def _evaluate(percent: int):
+def _order(counts: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    """Places in the global order: the shingle's counter, then its hash."""
+    return counts[(h >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(32) | h >> np.uint64(32)
+
+
+def fragment_bounds(counts: np.ndarray, fragments: int) -> np.ndarray:
+    """Places that cut the global order into parts with about equally many entries."""
+    value, times = np.unique(counts[counts > 1], return_counts=True)
+    if not len(value):
+        return np.empty(0, np.uint64)
+    weight = value.astype(np.float64) * times
+    done = np.cumsum(weight)
+    out = []
+    for k in range(1, fragments):
+        i = int(np.searchsorted(done, done[-1] * k / fragments))
+        share = 1 - (done[i] - done[-1] * k / fragments) / weight[i]
+        out.append(int(value[i]) << 32 | min(int(share * 2**32), 2**32 - 1))
+    return np.array(out, np.uint64)
+
+
+def _fragments(bits: int, bounds: np.ndarray, sketch):
+    """Each set as FRAGMENTS rows, one a part of the global order; a counter of one is no other set's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.frombuffer(sketch.value, "<u4")
+        for b in batches:
+            rows, parts, numbers = [], [], []
+            for r, raw in enumerate(b.column("set").to_pylist()):
+                h = np.frombuffer(raw, "<u8")
+                at = _order(counts, h, bits)
+                which = np.searchsorted(bounds, at, side="right")
+                which[at >> np.uint64(32) < 2] = FRAGMENTS
+                for k in range(FRAGMENTS):
+                    rows.append(r)
+                    numbers.append(k)
+                    parts.append(h[which == k].tobytes())
+            rest = b.select([n for n in b.schema.names if n != "set"]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(numbers, pa.int32()), pa.array(parts, pa.binary())], [*rest.schema.names, "fragment", "part"])
+
+    return run
+
+
+def _members(cluster: np.ndarray, block: np.ndarray, left: int, right: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Of rows in order of cluster: each cluster's rows, and which of them are of the left and of the right block."""
+    cuts = np.flatnonzero(np.r_[True, cluster[1:] != cluster[:-1], True])
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        i, j = np.flatnonzero(block[a:b] == left), np.flatnonzero(block[a:b] == right)
+        if len(i) and len(j):
+            yield slice(a, b), i, j
+
+
+_PARTIAL = "task long, left_block int, right_block int, fragment int, members binary, counts binary"
+
+
+def _partial(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """The overlaps of all pairs of two blocks within one fragment, cluster by cluster; the first fragment names the members."""
+    task, left, right, fragment = (k.as_py() for k in key)
+    rows = np.stack([table.column(n).to_numpy().astype(np.int64) for n in ("cluster", "cid", "block", "n", "cnt")])
+    order = np.lexsort((rows[1], rows[0]))
+    rows = rows[:, order]
+    raw = table.column("part").to_pylist()
+    sets = [np.frombuffer(raw[i], "<u8") for i in order.tolist()]
+    counts = []
+    for at, i, j in _members(rows[0], rows[2], left, right):
+        own = sets[at]
+        counts.append(overlaps([own[k] for k in i.tolist()], [own[k] for k in j.tolist()]).astype("<u4").ravel())
+    blob = np.concatenate(counts).tobytes() if counts else b""
+    schema = pa.schema([("task", pa.int64()), ("left_block", pa.int32()), ("right_block", pa.int32()), ("fragment", pa.int32()), ("members", pa.binary()), ("counts", pa.binary())])
+    return pa.table([[task], [left], [right], [fragment], [rows.tobytes() if fragment == 0 else None], [blob]], schema=schema)
+
+
+def _summed(percent: int):
+    """Links from the fragments' counts, summed for each pair."""
+
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        cluster = table.column("cluster").to_numpy()
-        cols = {n: table.column(n).to_numpy() for n in ("cid", "n", "cnt", "block")}
-        raw = table.column("set").to_pylist()
-        left_block, right_block = key[1].as_py(), key[2].as_py()
-        a, b, links = [], [], []
-        order = np.argsort(cluster, kind="stable")
-        for at in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
-            ids, n, cnt = (cols[x][at] for x in ("cid", "n", "cnt"))
-            sets = [np.frombuffer(raw[i], "<u8") for i in at.tolist()]
-            i = np.flatnonzero(cols["block"][at] == left_block)
-            j = np.flatnonzero(cols["block"][at] == right_block)
-            if not len(i) or not len(j):
-                continue
-            o = overlaps([sets[k] for k in i.tolist()], [sets[k] for k in j.tolist()])
-            hit = 100 * o >= percent * (n[i][:, None] + n[j][None, :] - o)
-            if left_block == right_block:
+        _, left, right = (k.as_py() for k in key)
+        total = 0
+        for raw in table.column("counts").to_pylist():
+            total = total + np.frombuffer(raw, "<u4").astype(np.int64)
+        cluster, cid, block, n, cnt = np.frombuffer(next(m for m in table.column("members").to_pylist() if m is not None), np.int64).reshape(5, -1)
+        a, b, links, done = [], [], [], 0
+        for at, i, j in _members(cluster, block, left, right):
+            ids, sizes = cid[at], n[at]
+            o = total[done : done + len(i) * len(j)].reshape(len(i), len(j))
+            done += len(i) * len(j)
+            hit = 100 * o >= percent * (sizes[i][:, None] + sizes[j][None, :] - o)
+            if left == right:
                 np.fill_diagonal(hit, False)
-            linked = np.zeros((len(at), len(at)), bool)
+            linked = np.zeros((len(ids), len(ids)), bool)
             linked[np.ix_(i, j)] |= hit
             linked[np.ix_(j, i)] |= hit.T
-            count = linked @ cnt
+            count = linked @ cnt[at]
             some = count > 0
             a.append(ids[some])
             b.append(_forest(linked, ids)[some])
@@ -403,12 +477,16 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     members = members.join(sizes.select(F.col("label").alias("cluster"), blocks.alias("blocks")), "cluster")
     batches = max(64, total // BLOCK_SHINGLES)
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    met = members.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = members.select("cluster", "blocks", "cid", "n", "cnt", own.alias("block"), "set")
+    cut = cut.mapInArrow(_fragments(bits, fragment_bounds(np.frombuffer(bytes(whole), "<u4"), FRAGMENTS), sketch), "cluster long, blocks int, cid long, n long, cnt long, block int, fragment int, part binary")
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.withColumns({
         "left_block": F.least("block", "other"), "right_block": F.greatest("block", "other"),
         "task": F.when(F.col("blocks") == 1, -1 - F.pmod(F.xxhash64("cluster"), F.lit(batches))).otherwise(F.col("cluster")),
     })
-    found = met.select("task", "left_block", "right_block", "cluster", "block", "cid", "n", "cnt", "set").groupBy("task", "left_block", "right_block").applyInArrow(_evaluate(percent), "a long, b long, links long")
+    met = met.select("task", "left_block", "right_block", "fragment", "cluster", "block", "cid", "n", "cnt", "part")
+    partial = met.groupBy("task", "left_block", "right_block", "fragment").applyInArrow(_partial, _PARTIAL)
+    found = partial.groupBy("task", "left_block", "right_block").applyInArrow(_summed(percent), "a long, b long, links long")
     found = scratch.keep(found, "links")
     joined = connected_components(found.select("a", "b"), scratch).select(F.col("v").alias("cid"), F.col("label").alias("component_id"))
     links = found.groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
