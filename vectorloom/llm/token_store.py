@@ -152,13 +152,6 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, pa
     end = struct.pack("<I", end_id)
     width = 2 if max(tokens.tokenizer(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
 
-    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = [x + end for x in tokens.encode_column(tokenizer_path, b.column("text"))]
-            if width == 2:
-                ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary()), pa.array([zlib.crc32(x) for x in ids], pa.int64())], ["doc_id", "ids", "tie"])
-
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_docs: list[int | None] = []
         held_ids: list[bytes] = []
@@ -172,21 +165,22 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, pa
 
         names = ["part", "seg", "start_in_part", "n_docs", "n_ids", "segment"]
         for b in batches:
-            for part, doc, ids in zip(b.column("part").to_pylist(), b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
+            for part, doc, ids in zip(b.column("part").to_pylist(), b.column("doc_id").to_pylist(), tokens.encode_column(tokenizer_path, b.column("text")), strict=True):
                 if held_docs and (part != now or n >= SEGMENT_IDS):
                     yield close()
                     seg, before = (seg + 1, before + n) if part == now else (0, 0)
                     held_docs, held_ids, n = [], [], 0
                 now = part
                 held_docs.append(doc)
-                held_ids.append(np.frombuffer(ids, "<u2").astype("<u4").tobytes() if width == 2 else ids)
-                n += len(ids) // width
+                held_ids.append(ids + end)
+                n += len(ids) // 4 + 1
         if held_docs:
             yield close()
 
-    ids = docs.mapInArrow(tokenise, "doc_id long, ids binary, tie long").withColumn("came_from", F.spark_partition_id())
+    # texts are dealt out before they are tokenised: finding the ranges evaluates what is dealt twice
     order = [F.col("doc_id").asc_nulls_first(), "tie", "came_from"]
-    placed = ids.repartitionByRange(parts, *order).sortWithinPartitions(*order, "ids").select(F.spark_partition_id().alias("part"), "doc_id", "ids")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.spark_partition_id().alias("came_from"))
+    placed = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "doc_id", "text")
     placed.mapInArrow(segments, _SEGMENT_SCHEMA).write.parquet(path)
 
 
