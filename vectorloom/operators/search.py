@@ -1,7 +1,8 @@
 """Maximum-inner-product search: exact, over codes, and over codes with exact reranking.
 
-Queries are a checked, bounded matrix sent to every task; a task scores its rows in numpy batch by batch and
-keeps only its best k of each query, so k rows a query and task are shuffled, whatever the corpus holds.
+Queries are a checked, bounded matrix broadcast to every task; a task scores its rows in numpy batch by batch and
+keeps only its best k of each query, so k rows a query and task are shuffled, whatever the corpus holds. Beyond the
+bound queries and rows meet block by block: rows are packed where they lie, query blocks go to every share of them.
 """
 
 from __future__ import annotations
@@ -19,51 +20,120 @@ from vectorloom.functions.quantize import ProdQuantizer, Quantizer
 from vectorloom.plans.options import MAX_K, SearchOptions
 from vectorloom.runtime import ship
 
-#: Numbers in a query matrix that is sent to all tasks; larger query sets go in blocks.
-MAX_QUERY_NUMBERS = 1 << 23
+#: Numbers in a query matrix that is broadcast; larger query sets go in blocks of so many numbers.
+MAX_QUERY_NUMBERS, BLOCK_NUMBERS = 1 << 22, 1 << 18
+#: Scores that a task holds at a time.
+HELD_SCORES = 1 << 24
 #: Candidate rows that may be sent whole to every executor; more are joined by a shuffle.
 MAX_SENT_ROWS = 1_000_000
 
 
-def query_matrix(queries: DataFrame, dim: int) -> tuple[list[str], np.ndarray]:
-    """(ids, rows) of queries (query_id, values), checked and bounded."""
-    most = MAX_QUERY_NUMBERS // dim
-    rows = queries.select(F.col("query_id").cast("string").alias("query_id"), "values").limit(most + 1).collect()
-    if len(rows) > most:
-        raise InvalidArgument(f"more than {most} queries: search them in blocks")
-    for r in rows:
-        if r["values"] is None or len(r["values"]) != dim or not np.isfinite(r["values"]).all():
-            raise InvalidArgument(f"query {r['query_id']}: {dim} finite numbers are needed")
-    return [r["query_id"] for r in rows], np.array([r["values"] for r in rows], np.float64).reshape(len(rows), dim)
+def _checked(rows: list, dim: int) -> tuple[list[str], np.ndarray]:
+    for name, v in rows:
+        if v is None or len(v) != dim or any(x is None for x in v) or not np.isfinite(v).all():
+            raise InvalidArgument(f"query {name}: {dim} finite numbers are needed")
+    return [name for name, _ in rows], np.array([v for _, v in rows], np.float64).reshape(len(rows), dim)
 
 
-def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Rows of the k best of one query: score down, id up."""
-    if len(score) > 4 * k:
-        cut = np.partition(score, len(score) - k)[len(score) - k]
-        keep = np.flatnonzero(score >= cut)
-    else:
-        keep = np.arange(len(score))
-    return keep[np.lexsort((ids[keep], -score[keep]))[:k]]
+def query_matrix(queries: DataFrame, dim: int) -> tuple[list[str], np.ndarray] | None:
+    """(ids, rows) of queries (query_id, values), checked; None if they are too many to broadcast."""
+    most = MAX_QUERY_NUMBERS // dim
+    rows = queries.select(F.col("query_id").cast("string").alias("query_id"), "values").limit(most + 1).collect()
+    return None if len(rows) > most else _checked([tuple(r) for r in rows], dim)
+
+
+class _Best:
+    """The best k of each query so far: scores down, ties to the smaller id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.score, self.ids = k, np.empty((queries, 0)), np.empty((queries, 0), object)
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        """``scores``: a row a query, a column an id."""
+        k, n = self.k, len(ids)
+        if n > k:  # only what reaches the k-th best of this batch competes
+            bar = np.partition(scores, n - k, axis=1)[:, n - k]
+            if self.score.shape[1] == k:
+                bar = np.maximum(bar, self.score[:, -1])
+            q, at = np.nonzero(scores >= bar[:, None])
+        else:
+            q, at = np.divmod(np.arange(scores.size), max(n, 1))
+        score = np.concatenate((self.score.ravel(), scores[q, at]))
+        name = np.concatenate((self.ids.ravel(), ids[at]))
+        q = np.concatenate((np.repeat(np.arange(len(self.score)), self.score.shape[1]), q))
+        order = np.lexsort((np.argsort(np.argsort(name, kind="stable"), kind="stable"), -score, q)) if len(name) else np.empty(0, np.int64)
+        q, score, name = q[order], score[order], name[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        width = min(k, int(place.max(initial=-1)) + 1)
+        kept = place < k
+        self.score, self.ids = np.full((len(self.score), width), -np.inf), np.full((len(self.ids), width), "", object)
+        self.score[q[kept], place[kept]], self.ids[q[kept], place[kept]] = score[kept], name[kept]
+
+    def batch(self, names: list[str]) -> pa.RecordBatch:
+        q, at = np.nonzero(self.score > -np.inf)
+        cols = [pa.array(np.array(names, object)[q], pa.string()), pa.array(self.ids[q, at], pa.string()), pa.array(self.score[q, at], pa.float64())]
+        return pa.RecordBatch.from_arrays(cols, ["query_id", "id", "score"])
+
+
+_FOUND = "query_id string, id string, score double"
+
+
+def _search(rows: DataFrame, columns: list[str], queries: DataFrame, dim: int, k: int, prepare, score) -> DataFrame:
+    """The best k of ``rows`` (id and columns) for each query: ``prepare`` turns a query matrix into what ``score`` takes with a batch."""
+    spark = rows.sparkSession
+    ship(spark)
+    rows = rows.select("id", *columns)
+    found = query_matrix(queries, dim)
+    if found is None:
+        return merge(_met_in_blocks(rows, queries, dim, k, prepare, score), k)
+    names, q = found
+    shared = spark.sparkContext.broadcast((names, prepare(q)))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q = shared.value
+        best = _Best(len(names), k)
+        step = max(256, HELD_SCORES // max(1, len(names)))
+        for whole in batches:
+            for at in range(0, whole.num_rows if names else 0, step):
+                b = whole.slice(at, step)
+                best.add(score(q, b).T, np.array(b.column("id").to_pylist(), dtype=object))
+        yield best.batch(names)
+
+    return merge(rows.mapInArrow(run, _FOUND), k)
+
+
+def _met_in_blocks(rows: DataFrame, queries: DataFrame, dim: int, k: int, prepare, score) -> DataFrame:
+    """(query_id, id, score) of each query's best k in each share of the rows."""
+    spark = rows.sparkSession
+    n = max(1, BLOCK_NUMBERS // dim)
+    shares = 2 * spark.sparkContext.defaultParallelism
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, n):
+                sink = pa.BufferOutputStream()
+                part = pa.Table.from_batches([whole.slice(at, n)])
+                with pa.ipc.new_stream(sink, part.schema) as w:
+                    w.write_table(part.combine_chunks())
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["data"])
+
+    def unpacked(raw: bytes) -> pa.RecordBatch:
+        return pa.ipc.open_stream(raw).read_all().combine_chunks().to_batches()[0]
+
+    data = rows.mapInArrow(packed, "data binary").withColumn("share", F.pmod(F.monotonically_increasing_id(), F.lit(shares)))
+    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "values").mapInArrow(packed, "data binary")
+    asked = asked.select(F.col("data").alias("asked"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))).alias("share"))
 
-def _partial(score_batch, names: list[str], k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, object)) for _ in names]
         for b in batches:
-            if not b.num_rows:
-                continue
-            ids = np.array(b.column("id").to_pylist(), dtype=object)
-            scores = score_batch(b)
-            for q in range(len(names)):
-                s, i = np.concatenate((held[q][0], scores[:, q])), np.concatenate((held[q][1], ids))
-                at = _best(s, i, k)
-                held[q] = (s[at], i[at])
-        rows = [(n, i, float(s)) for n, (ss, ii) in zip(names, held, strict=True) for s, i in zip(ss, ii, strict=True)]
-        cols = list(zip(*rows, strict=True)) or [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], ["query_id", "id", "score"])
+            for raw, q_raw in zip(b.column("data").to_pylist(), b.column("asked").to_pylist(), strict=True):
+                q = unpacked(q_raw)
+                names, x = _checked(list(zip(q.column("query_id").to_pylist(), q.column("values").to_pylist(), strict=True)), dim)
+                best, part = _Best(len(names), k), unpacked(raw)
+                best.add(score(prepare(x), part).T, np.array(part.column("id").to_pylist(), dtype=object))
+                yield best.batch(names)
 
-    return run
+    return data.join(asked, "share").select("data", "asked").mapInArrow(run, _FOUND)
 
 
 def merge(partial: DataFrame, k: int) -> DataFrame:
@@ -74,14 +144,11 @@ def merge(partial: DataFrame, k: int) -> DataFrame:
 
 def exact(rows: DataFrame, queries: DataFrame, dim: int, k: int) -> DataFrame:
     """Search raw vectors (id, values)."""
-    ship(rows.sparkSession)
-    names, q = query_matrix(queries, dim)
 
-    def score(b: pa.RecordBatch) -> np.ndarray:
-        x = b.column("values").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, dim)
-        return x @ q.T
+    def score(q: np.ndarray, b: pa.RecordBatch) -> np.ndarray:
+        return b.column("values").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, dim) @ q.T
 
-    return merge(rows.select("id", "values").mapInArrow(_partial(score, names, k), "query_id string, id string, score double"), k)
+    return _search(rows, ["values"], queries, dim, k, lambda q: q, score)
 
 
 def exact_sql(rows: DataFrame, query: list[float], k: int) -> DataFrame:
@@ -92,32 +159,27 @@ def exact_sql(rows: DataFrame, query: list[float], k: int) -> DataFrame:
 
 def quantized(rows: DataFrame, queries: DataFrame, quantizer: Quantizer, k: int, query_codes: bool = False) -> DataFrame:
     """Search codes (id, codes, norm) in the rotated space; ``query_codes`` codes the queries too."""
-    ship(rows.sparkSession)
-    names, q = query_matrix(queries, quantizer.dim)
-    if query_codes:
-        q = quantizer.decode(*quantizer.encode(q))
     width = (quantizer.out_dim * quantizer.bits + 7) // 8
 
-    def score(b: pa.RecordBatch) -> np.ndarray:
+    def score(q: np.ndarray, b: pa.RecordBatch) -> np.ndarray:
         packed = np.frombuffer(b"".join(b.column("codes").to_pylist()), np.uint8).reshape(b.num_rows, width)
         return quantizer.scores(q, packed, b.column("norm").to_numpy(zero_copy_only=False))
 
-    return merge(rows.select("id", "codes", "norm").mapInArrow(_partial(score, names, k), "query_id string, id string, score double"), k)
+    prepare = lambda q: quantizer.decode(*quantizer.encode(q)) if query_codes else q
+    return _search(rows, ["codes", "norm"], queries, quantizer.dim, k, prepare, score)
 
 
 def prod(rows: DataFrame, queries: DataFrame, quantizer: ProdQuantizer, k: int, estimator: str = "unbiased") -> DataFrame:
     """Search product codes (id, codes, norm, signs, residual_norm)."""
-    ship(rows.sparkSession)
-    names, q = query_matrix(queries, quantizer.dim)
     width, wide = (quantizer.mse.out_dim * quantizer.mse.bits + 7) // 8, (quantizer.rows + 7) // 8
 
-    def score(b: pa.RecordBatch) -> np.ndarray:
+    def score(q: np.ndarray, b: pa.RecordBatch) -> np.ndarray:
         codes = np.frombuffer(b"".join(b.column("codes").to_pylist()), np.uint8).reshape(b.num_rows, width)
         signs = np.frombuffer(b"".join(b.column("signs").to_pylist()), np.uint8).reshape(b.num_rows, wide)
         norm, rest = (b.column(c).to_numpy(zero_copy_only=False) for c in ("norm", "residual_norm"))
-        return quantizer.estimate(q, codes, norm, signs, rest, estimator).T.reshape(len(names), -1).T
+        return quantizer.estimate(q, codes, norm, signs, rest, estimator).reshape(b.num_rows, -1)
 
-    return merge(rows.select("id", "codes", "norm", "signs", "residual_norm").mapInArrow(_partial(score, names, k), "query_id string, id string, score double"), k)
+    return _search(rows, ["codes", "norm", "signs", "residual_norm"], queries, quantizer.dim, k, lambda q: q, score)
 
 
 def sent(few: DataFrame, rows: int) -> DataFrame:

@@ -168,6 +168,42 @@ class SafetensorsSource(DataSource):
         return TensorWriter(dict(self.options), schema, overwrite, _one_tensor, half=False, pad=1, keep_ids=True)
 
 
+#: Keys and version of the quantiser's parameters in a file's metadata (fixed values).
+META_KEYS = {"version": "turboquant_version", "rotator_seed": "rotator_seed", "rotator_type": "rotator_type", "codebook_id": "codebook_id", "bit_width": "bit_width", "variant": "variant"}
+META_VERSION = "0.1"
+
+
+def quantiser_metadata(dim: int, bits: int, seed: int, variant: str = "mse") -> dict[str, str]:
+    """A quantiser's parameters as a file's metadata."""
+    values = {"version": META_VERSION, "rotator_seed": seed, "rotator_type": "hadamard", "codebook_id": f"d{dim}_b{bits}_lloyd_max_v1", "bit_width": bits, "variant": variant}
+    return {META_KEYS[k]: str(v) for k, v in values.items()}
+
+
+def read_quantiser_metadata(metadata: dict[str, str]) -> dict[str, str | int]:
+    """The parameters back: missing numbers are 0, missing texts empty; a number that isn't one is refused."""
+    out: dict[str, str | int] = {}
+    for name, key in META_KEYS.items():
+        text = metadata.get(key, "")
+        if name in ("rotator_seed", "bit_width"):
+            if text and not (text.isascii() and text.isdigit()):
+                raise InvalidArgument(f"{key}: {text!r} is not a number")
+            out[name] = int(text or 0)
+        else:
+            out[name] = text
+    return out
+
+
+def export_collection(collection, path: str) -> int:
+    """A collection's live rows as one file with the quantiser's parameters; codes without raw vectors are reconstructed."""
+    c = collection.config
+    return export(collection.snapshot(), path, quantiser_metadata(c.dim, c.bit_width, c.rotator_seed, c.variant))
+
+
+def import_collection(engine, path: str, config, prefix: str = "", tensor: str | None = None, source: str = "safetensors") -> int:
+    """A new collection from a tensor's rows; ids are a prefix and the row's number."""
+    return engine.import_rows(import_rows(engine.spark, path, prefix, tensor, source), config)
+
+
 def export(rows: DataFrame, path: str, parameters: dict[str, str] | None = None, most: int = 1 << 26) -> int:
     """One file of tensor ``vectors`` and ids in its metadata, from (id, values) in id order.
 
