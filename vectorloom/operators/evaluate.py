@@ -52,8 +52,8 @@ def _at_place(df: DataFrame, place: int, n: int) -> float:
 
 
 def percentiles(df: DataFrame, value: str, at: list[float]) -> DataFrame:
-    """p, value: by nearest rank, halves up, of (n - 1) p; nulls don't count, without values there are no rows."""
-    known = df.select(F.col(value).cast("double").alias("value")).where("value is not null")
+    """p, value: by nearest rank, halves up, of (n - 1) p; nulls and NaN don't count, without values there are no rows."""
+    known = df.select(F.col(value).cast("double").alias("value")).where("value is not null and not isnan(value)")
     n = known.count()
     rows = [(float(p), _at_place(known, int(np.floor((n - 1) * p + 0.5)), n)) for p in at] if n else []
     return df.sparkSession.createDataFrame(rows, "p double, value double")
@@ -61,11 +61,19 @@ def percentiles(df: DataFrame, value: str, at: list[float]) -> DataFrame:
 
 def latency_report(df: DataFrame, value: str) -> DataFrame:
     """One row: n, mean, min, p50, p95, p99 and max of a column, by the percentiles above."""
+    df = df.select(F.col(value).cast("double").alias(value)).where(~F.isnan(value))
     ranks = percentiles(df, value, [0.5, 0.95, 0.99]).agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(name) for p, name in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))])
     out = df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
     return out.crossJoin(ranks).select("n", "mean", "min", "p50", "p95", "p99", "max")  # one row each
 
 
+def throughput(df: DataFrame, value: str, per_second: float = 1000.0) -> DataFrame:
+    """n, total_seconds, qps of latencies, ``per_second`` of whose units are a second; no latencies: 0."""
+    total = F.coalesce(F.sum(value), F.lit(0.0)) / F.lit(per_second)
+    out = df.where(~F.isnan(F.col(value).cast("double"))).agg(F.count(value).alias("n"), total.alias("total_seconds"))
+    return out.withColumn("qps", F.when(F.col("total_seconds") > 0, F.col("n") / F.col("total_seconds")).otherwise(0.0))
+
+
 def histogram_bucket(value, start: float, count: int) -> Column:
     """Number of the exponential bucket (start * 2**i) that a value falls in; ``count`` is the one above all."""
     return F.greatest(F.lit(0), F.least(F.lit(count), F.ceil(F.log2(value / F.lit(start))))).cast("int")

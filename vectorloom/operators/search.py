@@ -142,13 +142,18 @@ def merge(partial: DataFrame, k: int) -> DataFrame:
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
-def exact(rows: DataFrame, queries: DataFrame, dim: int, k: int) -> DataFrame:
-    """Search raw vectors (id, values)."""
+def exact_scores(dim: int):
+    """Scores of a batch of raw vectors with a query matrix."""
 
     def score(q: np.ndarray, b: pa.RecordBatch) -> np.ndarray:
         return b.column("values").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, dim) @ q.T
 
-    return _search(rows, ["values"], queries, dim, k, lambda q: q, score)
+    return score
+
+
+def exact(rows: DataFrame, queries: DataFrame, dim: int, k: int) -> DataFrame:
+    """Search raw vectors (id, values)."""
+    return _search(rows, ["values"], queries, dim, k, lambda q: q, exact_scores(dim))
 
 
 def exact_sql(rows: DataFrame, query: list[float], k: int) -> DataFrame:

@@ -5,11 +5,13 @@ Constants (centroids, signs) are put into the SQL as values: it checks the opera
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vectorloom.errors import AlreadyExists
 from vectorloom.functions import columns as C
 from vectorloom.functions.quantize import ProdQuantizer, Quantizer, gaussian
 from vectorloom.functions.rotation import signs
@@ -17,6 +19,7 @@ from vectorloom.operators import attention, evaluate, search
 from vectorloom.operators.collection import Collection, Config, Engine
 from vectorloom.plans import filters
 from vectorloom.runtime import Scratch, ship
+from vectorloom.sources import gguf, safetensors
 from vectorloom.streaming import cdc
 
 DIM, SEED = 64, 42
@@ -94,6 +97,34 @@ def mse_distortion_by_bits(spark, sf_dir):
         off = F.aggregate(F.zip_with("values", "x", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, d: s + d)
         one = r.agg(F.round(F.avg(off), 5).alias("mse")).select(F.lit(bits).alias("bits"), "mse")
         out = one if out is None else out.unionByName(one)
+    feed = """ev AS (SELECT doc_id AS k, doc_id + 1 AS lsn, CASE WHEN doc_id % 6 = 5 THEN 'delete' WHEN doc_id % 2 = 0 THEN 'insert' ELSE 'update' END AS o,
+  (doc_id % 200)::VARCHAR AS id, doc_id % 9 <> 0 AND lang IS NOT NULL AND lang <> 'fr' AS pass FROM documents),
+t AS (SELECT lsn, k, id, CASE WHEN o = 'delete' OR (o = 'update' AND NOT pass) THEN 'delete' WHEN NOT pass THEN 'skip' WHEN k % 19 = 0 THEN 'wrong dimension'
+  WHEN k % 23 = 0 AND o = 'update' THEN 'carry' WHEN k % 11 = 0 THEN 'bad vector' ELSE 'upsert' END AS op FROM ev)"""
+    state = f"""WITH {feed}, s AS (SELECT id, arg_max(k, lsn) AS k, arg_max(op, lsn) AS op FROM t WHERE op IN ('upsert', 'delete') GROUP BY id)
+SELECT id, (k % 13)::DOUBLE AS x0, k % 17 + 0.5::DOUBLE AS x1 FROM s WHERE op = 'upsert'"""
+    out["cdc_apply"] = out["cdc_redelivery"] = state
+    out["cdc_dead_letters"] = f"WITH {feed} SELECT lsn, id, op AS error FROM t WHERE op IN ('bad vector', 'wrong dimension')"
+    out["cdc_repair"] = f"""WITH {source} SELECT id, CASE WHEN e.id IS NULL THEN 1 ELSE 9 END::DOUBLE AS x0, id::DOUBLE AS x1
+FROM (SELECT id, good FROM s) s FULL JOIN e USING (id) WHERE (s.id IS NOT NULL AND e.id IS NOT NULL) OR (e.id IS NULL AND good)"""
+    first = "round(embedding[1]::DOUBLE, 6) AS x0"
+    ranked = "(SELECT row_number() OVER (ORDER BY vec_id::VARCHAR) - 1 AS row, * FROM embeddings)"
+    out |= {
+        "metadata_filter": f"WITH {_RAW}, q AS (SELECT * FROM raw WHERE vec_id % 50 = 0), d AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE label % 2 = 0), {_topk('q', 'd', 5, 'f')} SELECT query_id, rank::INTEGER AS rank, id, label::VARCHAR AS label FROM f JOIN embeddings ON vec_id = id::BIGINT",
+        "reconstruct_sealed": f"{coded} SELECT vec_id, i::INTEGER AS i, round(x::FLOAT::DOUBLE, 5) AS x FROM r",
+        "compact_live": f"WITH {_LIVE} SELECT count(*) AS rows, count(*) AS live_count, count(*) AS physical_count, 0::BIGINT AS tombstones, 1::BIGINT AS segments FROM live",
+        "strict_insert": "WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT c AS \"case\", c <> 'new' AS refused, CASE WHEN c = 'known' THEN n ELSE 2 * n END AS live_count FROM n, (VALUES ('known'), ('new'), ('repeated')) t(c)",
+        "describe_collections": "SELECT * FROM (VALUES ('docs', 64::INTEGER, 4::INTEGER, 7::INTEGER, 2::INTEGER, 2::INTEGER, 3::INTEGER, 2::INTEGER), ('empty', 3, 2, 1, 0, 0, 3, 2)) t(name, dim, bit_width, version, segments, logs, segments_active, segments_sealed_total)",
+        "value_histogram": "SELECT greatest(0, least(12, ceil(log2(value))))::INTEGER AS bucket, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1",
+        "latency_qps": "SELECT count(value) AS n, round(sum(value) / 1000, 4) AS total_seconds, round(count(value) / (sum(value) / 1000), 4) AS qps FROM events",
+        "safetensors_roundtrip": f"SELECT row, 64::INTEGER AS dim, {first}, round(embedding[64]::DOUBLE, 6) AS x_last FROM {ranked}",
+        "tensor_convert": f"SELECT row, 64::INTEGER AS dim, {first}, round(embedding[64]::DOUBLE, 6) AS x_last FROM {ranked}",
+        "tensor_inspect": """SELECT name, dtype, shape, value FROM (VALUES ('ids', NULL, '', NULL), ('turboquant_version', NULL, '', '0.1'), ('rotator_seed', NULL, '', '42'), ('rotator_type', NULL, '', 'hadamard'),
+  ('codebook_id', NULL, '', 'd64_b4_lloyd_max_v1'), ('bit_width', NULL, '', '4'), ('variant', NULL, '', 'mse')) t(name, dtype, shape, value) UNION ALL SELECT 'vectors', 'F32', count(*) || 'x64', NULL FROM embeddings""",
+        "tensor_import": f"SELECT 'row-' || row AS id, {first} FROM {ranked}",
+        "search_in_blocks": f"WITH {_RAW}, {_topk('raw', 'raw', 10, 'f')} {_SHOWN} f",
+        "topk_sql_function": out["exact_topk_single"],
+    }
     return out
 
 
@@ -251,10 +282,165 @@ def search_join_labels(spark, sf_dir):
     return both.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("label") == F.col("found_label")).cast("long")).alias("same"))
 
 
+def _change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``_events`` in two dimensions, with some vectors of three and some updates without one."""
+    k = F.col("lsn") - 1
+    row = F.when(k % 19 == 0, F.map_concat(F.map_filter("row", lambda n, _: n != "vector"), F.create_map(F.lit("vector"), F.lit("[1,2,3]"))))
+    row = row.when((k % 23 == 0) & (F.col("op") == "update"), F.map_filter("row", lambda n, _: n != "vector")).otherwise(F.col("row"))
+    return _events(spark, sf_dir).withColumn("row", row)
+
+
+def _applied(spark: SparkSession, sf_dir: str, parts: list[str]) -> tuple[Collection, list[DataFrame]]:
+    scratch, dead = Scratch(spark, "engine"), []
+    c = Engine(spark, scratch.root).create(Config("docs", 2))
+    feed = _change_feed(spark, sf_dir)
+    for part in parts:
+        cdc.apply_batch(feed.where(part), [_MAPPING], {"docs": c}, lambda df: dead.append(scratch.keep(df, "dead")))
+    return c, dead
+
+
+def _shown(c: Collection) -> DataFrame:
+    return c.snapshot().select("id", F.col("values")[0].cast("double").alias("x0"), F.col("values")[1].cast("double").alias("x1"))
+
+
+def cdc_apply(spark, sf_dir):
+    return _shown(_applied(spark, sf_dir, ["true"])[0])
+
+
+def cdc_redelivery(spark, sf_dir):
+    """The same feed: late halves, and everything again."""
+    return _shown(_applied(spark, sf_dir, ["lsn % 2 = 0 and lsn % 23 <> 1", "lsn % 23 = 1 or lsn % 2 = 1", "true"])[0])
+
+
+def cdc_dead_letters(spark, sf_dir):
+    _, dead = _applied(spark, sf_dir, ["true"])
+    return dead[0].where("error <> 'no vector known'").select("lsn", "id", "error")
+
+
+def cdc_repair(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    k = F.col("doc_id")
+    c = Engine(spark, Scratch(spark, "engine").root).create(Config("docs", 2))
+    c.upsert(d.where("doc_id % 5 <> 0").select(k.cast("string").alias("id"), F.array(F.lit(9.0), k.cast("double")).alias("values")))
+    source = d.where("doc_id % 4 <> 0").select(k, F.when(k % 11 == 0, "[").otherwise(F.concat(F.lit("[1,"), k.cast("string"), F.lit("]"))).alias("vector"), F.when(k % 9 == 0, "x").alias("deleted_at"), "lang")
+    cdc.repair(source, c, _MAPPING)
+    return _shown(c)
+
+
+def _tagged(spark: SparkSession, sf_dir: str, **more) -> Collection:
+    """All vectors with their label as metadata, sealed."""
+    c = Engine(spark, Scratch(spark, "engine").root).create(Config("tagged", DIM, **more))
+    c.upsert(_rows(spark, sf_dir).select("id", "values", F.create_map(F.lit("label"), F.col("label").cast("string")).alias("metadata")))
+    c.seal()
+    return c
+
+
+def metadata_filter(spark, sf_dir):
+    asked = _asked(_rows(spark, sf_dir).where("vec_id % 50 = 0"))
+    found, _ = _tagged(spark, sf_dir).search(asked, k=5, where="cast(metadata['label'] AS int) % 2 = 0", exact=True)
+    return found.select("query_id", "rank", "id", F.col("metadata")["label"].alias("label"))
+
+
+def reconstruct_sealed(spark, sf_dir):
+    r = _tagged(spark, sf_dir, retain_raw=False).reconstruct()
+    return r.select(F.col("id").cast("long").alias("vec_id"), F.posexplode("values").alias("i", "x")).select("vec_id", "i", F.round(F.col("x").cast("double"), 5).alias("x"))
+
+
+def compact_live(spark, sf_dir):
+    c = _written(spark, sf_dir)
+    n = c.compact()
+    s = c.stats()
+    return spark.createDataFrame([(n, s["live_count"], s["physical_count"], s["tombstones"], s["segments"])], "rows long, live_count long, physical_count long, tombstones long, segments long")
+
+
+def strict_insert(spark, sf_dir):
+    """Whether a strict insert of known, of new and of repeated ids was refused, and how many rows there are after."""
+    c, r = _tagged(spark, sf_dir), _rows(spark, sf_dir).select("id", "values")
+    new = r.withColumn("id", F.concat(F.lit("n"), F.col("id")))
+    out = []
+    for name, rows in (("known", r), ("new", new), ("repeated", new.unionByName(new).withColumn("id", F.concat(F.lit("r"), F.col("id"))))):
+        try:
+            c.upsert(rows, strict=True)
+            out.append((name, False, c.stats()["live_count"]))
+        except AlreadyExists:
+            out.append((name, True, c.stats()["live_count"]))
+    return spark.createDataFrame(out, "case string, refused boolean, live_count long")
+
+
+def describe_collections(spark, sf_dir):
+    e = _written(spark, sf_dir).engine
+    e.create(Config("empty", 3, bit_width=2))
+    return e.describe().join(spark.createDataFrame([(e.stats()["segments_active"], e.stats()["segments_sealed_total"])], "segments_active int, segments_sealed_total int"))
+
+
+def value_histogram(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("value is not null")
+    return e.groupBy(evaluate.histogram_bucket(F.col("value"), 1.0, 12).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def latency_qps(spark, sf_dir):
+    out = evaluate.throughput(spark.read.parquet(f"{sf_dir}/events.parquet"), "value")
+    return out.select("n", F.round("total_seconds", 4).alias("total_seconds"), F.round("qps", 4).alias("qps"))
+
+
+def _tensor_path(spark: SparkSession, name: str) -> str:
+    """A plain path in the shared folder, which the tensor formats need."""
+    root = Scratch(spark, "tensors").root.removeprefix("file://").removeprefix("file:")
+    os.makedirs(root, exist_ok=True)
+    return f"{root}/{name}"
+
+
+def _exported(spark: SparkSession, sf_dir: str) -> str:
+    gguf.register(spark)
+    path = _tensor_path(spark, "all.safetensors")
+    safetensors.export_collection(_tagged(spark, sf_dir), path)
+    return path
+
+
+def _first_numbers(df: DataFrame) -> DataFrame:
+    return df.select("row", F.size("values").alias("dim"), F.round(F.col("values")[0].cast("double"), 6).alias("x0"), F.round(F.col("values")[DIM - 1].cast("double"), 6).alias("x_last"))
+
+
+def safetensors_roundtrip(spark, sf_dir):
+    return _first_numbers(spark.read.format("safetensors").load(_exported(spark, sf_dir)))
+
+
+def tensor_convert(spark, sf_dir):
+    path = _exported(spark, sf_dir)
+    gguf.convert(path, path + ".gguf")
+    return _first_numbers(spark.read.format("gguf").option("tensor", "vectors").load(path + ".gguf"))
+
+
+def tensor_inspect(spark, sf_dir):
+    got = spark.read.format("safetensors").option("mode", "inspect").load(_exported(spark, sf_dir))
+    return got.select("name", "dtype", F.concat_ws("x", F.transform("shape", lambda x: x.cast("string"))).alias("shape"), F.when(F.col("name") != "ids", F.col("value")).alias("value"))
+
+
+def tensor_import(spark, sf_dir):
+    path = _exported(spark, sf_dir)
+    e = Engine(spark, Scratch(spark, "engine").root)
+    safetensors.import_collection(e, path, Config("back", DIM), "row-")
+    return e.collection("back").snapshot().select("id", F.round(F.col("values")[0].cast("double"), 6).alias("x0"))
+
+
+def search_in_blocks(spark, sf_dir):
+    r = _rows(spark, sf_dir)
+    met = search._met_in_blocks(r.select("id", "values"), _asked(r), DIM, 10, lambda q: q, search.exact_scores(DIM))
+    return _score(search.merge(met, 10))
+
+
+def topk_sql_function(spark, sf_dir):
+    _tagged(spark, sf_dir).table_function("tagged_rows")
+    query = ", ".join("1D" if i % 2 else "-1D" for i in range(DIM))
+    return spark.sql(f"SELECT id, round(s, 6) AS score FROM (SELECT id, tagged_rows_score(values, array({query})) AS s FROM tagged_rows) ORDER BY s DESC, id LIMIT 10")
+
+
 _OWN = [
     exact_topk_batch, exact_topk_single, vec_norm, vec_normalize, vec_validate, rotate_fwht, rotate_roundtrip, mse_indices, mse_packed_hex, mse_reconstruct, mse_distortion_by_bits,
     quantized_topk_batch, quantized_topk_symmetric, quantized_topk_rerank, recall_at_k, prod_estimate, upsert_latest, snapshot_ids, ids_page, collection_stats, topk_with_tombstones,
     cdc_transform, cdc_net_ops, filter_dsl, reconcile_diff, reconcile_summary, parse_vector_text, id_coercion, segment_size_estimate, latency_percentiles, latency_report, kv_attention, search_join_labels,
+    cdc_apply, cdc_redelivery, cdc_dead_letters, cdc_repair, metadata_filter, reconstruct_sealed, compact_live, strict_insert, describe_collections, value_histogram, latency_qps,
+    safetensors_roundtrip, tensor_convert, tensor_inspect, tensor_import, search_in_blocks, topk_sql_function,
 ]
 
 
@@ -369,4 +555,32 @@ d AS (SELECT coalesce(s.id, e.id) AS id, CASE WHEN s.id IS NULL THEN 'orphaned'
     out["reconcile_diff"] = f"WITH {source} SELECT id, kind FROM d WHERE kind IS NOT NULL"
     out["reconcile_summary"] = f"""WITH {source} SELECT (SELECT count(*) FROM documents WHERE doc_id % 4 <> 0) AS source_rows, (SELECT count(*) FROM e) AS engine_ids, count(*) FILTER (kind = 'missing') AS missing,
   count(*) FILTER (kind = 'orphaned') AS orphaned, count(*) FILTER (kind = 'malformed') AS malformed, count(*) FILTER (kind IN ('missing', 'orphaned')) AS discrepancies FROM d"""
+    feed = """ev AS (SELECT doc_id AS k, doc_id + 1 AS lsn, CASE WHEN doc_id % 6 = 5 THEN 'delete' WHEN doc_id % 2 = 0 THEN 'insert' ELSE 'update' END AS o,
+  (doc_id % 200)::VARCHAR AS id, doc_id % 9 <> 0 AND lang IS NOT NULL AND lang <> 'fr' AS pass FROM documents),
+t AS (SELECT lsn, k, id, CASE WHEN o = 'delete' OR (o = 'update' AND NOT pass) THEN 'delete' WHEN NOT pass THEN 'skip' WHEN k % 19 = 0 THEN 'wrong dimension'
+  WHEN k % 23 = 0 AND o = 'update' THEN 'carry' WHEN k % 11 = 0 THEN 'bad vector' ELSE 'upsert' END AS op FROM ev)"""
+    state = f"""WITH {feed}, s AS (SELECT id, arg_max(k, lsn) AS k, arg_max(op, lsn) AS op FROM t WHERE op IN ('upsert', 'delete') GROUP BY id)
+SELECT id, (k % 13)::DOUBLE AS x0, k % 17 + 0.5::DOUBLE AS x1 FROM s WHERE op = 'upsert'"""
+    out["cdc_apply"] = out["cdc_redelivery"] = state
+    out["cdc_dead_letters"] = f"WITH {feed} SELECT lsn, id, op AS error FROM t WHERE op IN ('bad vector', 'wrong dimension')"
+    out["cdc_repair"] = f"""WITH {source} SELECT id, CASE WHEN e.id IS NULL THEN 1 ELSE 9 END::DOUBLE AS x0, id::DOUBLE AS x1
+FROM (SELECT id, good FROM s) s FULL JOIN e USING (id) WHERE (s.id IS NOT NULL AND e.id IS NOT NULL) OR (e.id IS NULL AND good)"""
+    first = "round(embedding[1]::DOUBLE, 6) AS x0"
+    ranked = "(SELECT row_number() OVER (ORDER BY vec_id::VARCHAR) - 1 AS row, * FROM embeddings)"
+    out |= {
+        "metadata_filter": f"WITH {_RAW}, q AS (SELECT * FROM raw WHERE vec_id % 50 = 0), d AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE label % 2 = 0), {_topk('q', 'd', 5, 'f')} SELECT query_id, rank::INTEGER AS rank, id, label::VARCHAR AS label FROM f JOIN embeddings ON vec_id = id::BIGINT",
+        "reconstruct_sealed": f"{coded} SELECT vec_id, i::INTEGER AS i, round(x::FLOAT::DOUBLE, 5) AS x FROM r",
+        "compact_live": f"WITH {_LIVE} SELECT count(*) AS rows, count(*) AS live_count, count(*) AS physical_count, 0::BIGINT AS tombstones, 1::BIGINT AS segments FROM live",
+        "strict_insert": "WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT c AS \"case\", c <> 'new' AS refused, CASE WHEN c = 'known' THEN n ELSE 2 * n END AS live_count FROM n, (VALUES ('known'), ('new'), ('repeated')) t(c)",
+        "describe_collections": "SELECT * FROM (VALUES ('docs', 64::INTEGER, 4::INTEGER, 7::INTEGER, 2::INTEGER, 2::INTEGER, 3::INTEGER, 2::INTEGER), ('empty', 3, 2, 1, 0, 0, 3, 2)) t(name, dim, bit_width, version, segments, logs, segments_active, segments_sealed_total)",
+        "value_histogram": "SELECT greatest(0, least(12, ceil(log2(value))))::INTEGER AS bucket, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1",
+        "latency_qps": "SELECT count(value) AS n, round(sum(value) / 1000, 4) AS total_seconds, round(count(value) / (sum(value) / 1000), 4) AS qps FROM events",
+        "safetensors_roundtrip": f"SELECT row, 64::INTEGER AS dim, {first}, round(embedding[64]::DOUBLE, 6) AS x_last FROM {ranked}",
+        "tensor_convert": f"SELECT row, 64::INTEGER AS dim, {first}, round(embedding[64]::DOUBLE, 6) AS x_last FROM {ranked}",
+        "tensor_inspect": """SELECT name, dtype, shape, value FROM (VALUES ('ids', NULL, '', NULL), ('turboquant_version', NULL, '', '0.1'), ('rotator_seed', NULL, '', '42'), ('rotator_type', NULL, '', 'hadamard'),
+  ('codebook_id', NULL, '', 'd64_b4_lloyd_max_v1'), ('bit_width', NULL, '', '4'), ('variant', NULL, '', 'mse')) t(name, dtype, shape, value) UNION ALL SELECT 'vectors', 'F32', count(*) || 'x64', NULL FROM embeddings""",
+        "tensor_import": f"SELECT 'row-' || row AS id, {first} FROM {ranked}",
+        "search_in_blocks": f"WITH {_RAW}, {_topk('raw', 'raw', 10, 'f')} {_SHOWN} f",
+        "topk_sql_function": out["exact_topk_single"],
+    }
     return out
