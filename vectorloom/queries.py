@@ -97,34 +97,6 @@ def mse_distortion_by_bits(spark, sf_dir):
         off = F.aggregate(F.zip_with("values", "x", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, d: s + d)
         one = r.agg(F.round(F.avg(off), 5).alias("mse")).select(F.lit(bits).alias("bits"), "mse")
         out = one if out is None else out.unionByName(one)
-    feed = """ev AS (SELECT doc_id AS k, doc_id + 1 AS lsn, CASE WHEN doc_id % 6 = 5 THEN 'delete' WHEN doc_id % 2 = 0 THEN 'insert' ELSE 'update' END AS o,
-  (doc_id % 200)::VARCHAR AS id, doc_id % 9 <> 0 AND lang IS NOT NULL AND lang <> 'fr' AS pass FROM documents),
-t AS (SELECT lsn, k, id, CASE WHEN o = 'delete' OR (o = 'update' AND NOT pass) THEN 'delete' WHEN NOT pass THEN 'skip' WHEN k % 19 = 0 THEN 'wrong dimension'
-  WHEN k % 23 = 0 AND o = 'update' THEN 'carry' WHEN k % 11 = 0 THEN 'bad vector' ELSE 'upsert' END AS op FROM ev)"""
-    state = f"""WITH {feed}, s AS (SELECT id, arg_max(k, lsn) AS k, arg_max(op, lsn) AS op FROM t WHERE op IN ('upsert', 'delete') GROUP BY id)
-SELECT id, (k % 13)::DOUBLE AS x0, k % 17 + 0.5::DOUBLE AS x1 FROM s WHERE op = 'upsert'"""
-    out["cdc_apply"] = out["cdc_redelivery"] = state
-    out["cdc_dead_letters"] = f"WITH {feed} SELECT lsn, id, op AS error FROM t WHERE op IN ('bad vector', 'wrong dimension')"
-    out["cdc_repair"] = f"""WITH {source} SELECT id, CASE WHEN e.id IS NULL THEN 1 ELSE 9 END::DOUBLE AS x0, id::DOUBLE AS x1
-FROM (SELECT id, good FROM s) s FULL JOIN e USING (id) WHERE (s.id IS NOT NULL AND e.id IS NOT NULL) OR (e.id IS NULL AND good)"""
-    first = "round(embedding[1]::DOUBLE, 6) AS x0"
-    ranked = "(SELECT row_number() OVER (ORDER BY vec_id::VARCHAR) - 1 AS row, * FROM embeddings)"
-    out |= {
-        "metadata_filter": f"WITH {_RAW}, q AS (SELECT * FROM raw WHERE vec_id % 50 = 0), d AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE label % 2 = 0), {_topk('q', 'd', 5, 'f')} SELECT query_id, rank::INTEGER AS rank, id, label::VARCHAR AS label FROM f JOIN embeddings ON vec_id = id::BIGINT",
-        "reconstruct_sealed": f"{coded} SELECT vec_id, i::INTEGER AS i, round(x::FLOAT::DOUBLE, 5) AS x FROM r",
-        "compact_live": f"WITH {_LIVE} SELECT count(*) AS rows, count(*) AS live_count, count(*) AS physical_count, 0::BIGINT AS tombstones, 1::BIGINT AS segments FROM live",
-        "strict_insert": "WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT c AS \"case\", c <> 'new' AS refused, CASE WHEN c = 'known' THEN n ELSE 2 * n END AS live_count FROM n, (VALUES ('known'), ('new'), ('repeated')) t(c)",
-        "describe_collections": "SELECT * FROM (VALUES ('docs', 64::INTEGER, 4::INTEGER, 7::INTEGER, 2::INTEGER, 2::INTEGER, 3::INTEGER, 2::INTEGER), ('empty', 3, 2, 1, 0, 0, 3, 2)) t(name, dim, bit_width, version, segments, logs, segments_active, segments_sealed_total)",
-        "value_histogram": "SELECT greatest(0, least(12, ceil(log2(value))))::INTEGER AS bucket, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1",
-        "latency_qps": "SELECT count(value) AS n, round(sum(value) / 1000, 4) AS total_seconds, round(count(value) / (sum(value) / 1000), 4) AS qps FROM events",
-        "safetensors_roundtrip": f"SELECT row, 64::INTEGER AS dim, {first}, round(embedding[64]::DOUBLE, 6) AS x_last FROM {ranked}",
-        "tensor_convert": f"SELECT row, 64::INTEGER AS dim, {first}, round(embedding[64]::DOUBLE, 6) AS x_last FROM {ranked}",
-        "tensor_inspect": """SELECT name, dtype, shape, value FROM (VALUES ('ids', NULL, '', NULL), ('turboquant_version', NULL, '', '0.1'), ('rotator_seed', NULL, '', '42'), ('rotator_type', NULL, '', 'hadamard'),
-  ('codebook_id', NULL, '', 'd64_b4_lloyd_max_v1'), ('bit_width', NULL, '', '4'), ('variant', NULL, '', 'mse')) t(name, dtype, shape, value) UNION ALL SELECT 'vectors', 'F32', count(*) || 'x64', NULL FROM embeddings""",
-        "tensor_import": f"SELECT 'row-' || row AS id, {first} FROM {ranked}",
-        "search_in_blocks": f"WITH {_RAW}, {_topk('raw', 'raw', 10, 'f')} {_SHOWN} f",
-        "topk_sql_function": out["exact_topk_single"],
-    }
     return out
 
 
