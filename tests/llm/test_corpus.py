@@ -10,6 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from vectorloom.runtime import Scratch
 from vectorloom.llm import image_copies, maxscore, mixing, ngram_join, packing, pii, quality, shards, token_store, tokens, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, shard int"
@@ -282,20 +283,62 @@ def test_flight_keeps_totals():
     assert abs(mean - 0.3).max() < 0.17
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(1, 50), max_size=120))
-def test_best_fit_rounds(lengths):
+def best_fit_decreasing(lengths, capacity):
     import bisect
 
     gaps, n = [], 0
     for x in sorted(lengths, reverse=True):
         at = bisect.bisect_left(gaps, x)
-        gap = gaps.pop(at) if at < len(gaps) else 50
-        n += gap == 50
+        gap = gaps.pop(at) if at < len(gaps) else capacity
+        n += gap == capacity
         if gap > x:
             bisect.insort(gaps, gap - x)
-    intervals, made = packing.best_fit_rounds(collections.Counter(lengths), 50)
-    assert made == n
+    return n
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 9), st.integers(0, 1)), max_size=60), st.lists(st.integers(0, 60), max_size=5))
+def test_sweeps_of_ranges_equal_one_sweep(items, cuts):
+    order = sorted(range(len(items)), key=lambda i: (-items[i][0], items[i][1], i))
+
+    def sweep(some):
+        stack, documents, pairs = [], [], []
+        for i in some:
+            if items[i][1] == 0:
+                stack.append(i)
+            elif stack:
+                pairs.append((i, stack.pop()))
+            else:
+                documents.append(i)
+        return pairs, documents, stack
+
+    at = [0, *sorted(min(c, len(items)) for c in cuts), len(items)]
+    ranges = [sweep(order[a:b]) for a, b in zip(at, at[1:], strict=False)]
+    pairs = [x for p, _, _ in ranges for x in p]
+    left = {(k, w): len(r[w]) for k, r in enumerate(ranges) for w in (1, 2) if r[w]}
+    for part, first, n, slot_part, last in packing.settle(left):
+        pairs += [(ranges[part][1][first + k], ranges[slot_part][2][last - k]) for k in range(n)]
+    assert sorted(pairs) == sorted(sweep(order)[0]) and all(items[d][0] <= items[s][0] for d, s in pairs)
+
+
+@pytest.mark.parametrize("shape", ["mixed", "tiny", "one length", "none", "long tail"])
+def test_best_fit_is_near_the_best(spark, monkeypatch, shape):
+    monkeypatch.setattr(packing, "LANDING", 40)
+    rng = np.random.default_rng(12)
+    lengths = {"mixed": rng.integers(1, 257, 1500), "tiny": rng.integers(1, 5, 1500), "one length": np.full(400, 90), "none": np.empty(0, int), "long tail": np.minimum(256, (20 * rng.lognormal(0, 1.5, 2000)).astype(int) + 1)}[shape]
+    df = spark.createDataFrame([(i, int(x)) for i, x in enumerate(lengths)], "rid long, length long").repartition(5)
+    got = packing.best_fit(df, 256, Scratch(spark, "t")).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["seq"]].append((r["offset"], int(lengths[r["rid"]])))
+    for s in by.values():
+        at = 0
+        for o, n in sorted(s):
+            assert o == at
+            at += n
+        assert at <= 256
+    best = best_fit_decreasing(lengths.tolist(), 256)
+    assert sorted(r["rid"] for r in got) == list(range(len(lengths))) and len(by) <= best * 1.03 + 2
 
 
 def test_packing(spark):

@@ -1,15 +1,16 @@
 """Best-fit packing of token sequences, in bulk-synchronous rounds.
 
-Documents are range-sorted by length once, on slim rows. Documents of one length and sequences with one gap are
-interchangeable but for their rank, so the two sorted sides are held as runs (value, ranks): at most
-``capacity`` values each, however many rows there are. A round takes the longest documents not yet placed and
-sweeps the gaps for the successor of their length, the smallest gap that holds it. Where more documents than
-gaps meet, rank decides; the gaps are updated and the rest goes to the next round. What no gap holds opens new
-sequences. Each match is an interval of ranks, and Spark places every document by finding its rank in them.
-The result is that of sequential best-fit decreasing, without a step per document.
+Documents are placed class by class, long ones first; a class is those within a factor of CLASS. In a round the
+documents of the class that aren't placed yet and the gaps of all sequences are range-sorted together, by falling size. A
+gap that holds several documents of the class is that many slots. Each task sweeps its range: a document takes the
+smallest slot at hand that holds it, its successor. What a task can't match goes by rank: the driver, which knows only
+how many documents and slots each range has left, gives each range's documents the last ranks of the nearest slots
+above, and a join carries that out. Then gaps shrink and the next round begins. Once a round matches few, what is left
+opens new sequences, as many as its tokens fill. The last LANDING documents of a class, at any size of the table, are
+placed by the driver in its largest gaps; else nothing but counts of ranges reaches it.
 
 Edge cases: a null or empty text is its end id alone; a document longer than a sequence is cut into full
-sequences, the last piece may be shorter; equal lengths are ordered by doc_id (null first) and piece; repeated
+sequences, the last piece may be shorter; equal lengths are told apart by their place in the written table; repeated
 rows are each packed; an empty table gives no rows; other columns are ignored.
 """
 
@@ -20,14 +21,18 @@ import struct
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectorloom.llm import tokens
 from vectorloom.runtime import Scratch, ship
 
+#: Longest to shortest of a class of lengths (the first class is half a sequence and more, the second a quarter).
+CLASS = 4
+#: Documents of a class (and gaps for them) that the driver places at the end, and the share that a round has to match.
+LANDING, FEW = 512, 0.02
+
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -61,99 +66,177 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int,
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, _PIECES + (", ids binary" if with_ids else ""))
 
 
-def best_fit_rounds(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Match runs of documents with runs of gaps.
+_SWEPT = "part int, what int, rank long, rid long, length long, seq long, gap long"
+_MATCH, _DOCUMENT, _SLOT = 0, 1, 2
+
 
-    ``counts``: documents of each length. Returns intervals (length, first rank, number, first sequence,
-    offset) by falling length and rising rank, and the number of sequences. Sequences of an interval follow
-    each other.
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Match documents (kind 1) with slots (kind 0) within one range, both by falling size, slots first.
+
+    The slots passed are a stack, whose top is the smallest; unmatched documents keep their order, and slots theirs.
+    """
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    kinds, ids, sizes = [], [], []
+    for b in batches:
+        kinds += b.column("kind").to_pylist()
+        ids += b.column("id").to_pylist()
+        sizes += b.column("whole").to_pylist()
+    stack: list[int] = []
+    documents: list[int] = []
+    pairs: list[tuple[int, int]] = []
+    for i, kind in enumerate(kinds):
+        if kind == 0:
+            stack.append(i)
+        elif stack:
+            pairs.append((i, stack.pop()))
+        else:
+            documents.append(i)
+    for what, rows in ((_MATCH, pairs), (_DOCUMENT, [(i, None) for i in documents]), (_SLOT, [(None, i) for i in stack])):
+        for at in range(0, len(rows), 1 << 16):
+            some = rows[at : at + (1 << 16)]
+            get = lambda of, k: pa.array([None if r[k] is None else of[r[k]] for r in some], pa.int64())  # noqa: B023, E731
+            n = len(some)
+            cols = [pa.array([part] * n, pa.int32()), pa.array([what] * n, pa.int32()), pa.array(range(at, at + n), pa.int64()), get(ids, 0), get(sizes, 0), get(ids, 1), get(sizes, 1)]
+            yield pa.RecordBatch.from_arrays(cols, ["part", "what", "rank", "rid", "length", "seq", "gap"])
+
+
+def settle(left: dict[tuple[int, int], int]) -> list[tuple[int, int, int, int, int]]:
+    """Who takes what across ranges: (range, first rank, number) of documents, and the range and last rank of their slots.
+
+    ``left``: how many documents and slots (range, what) are unmatched. Ranges go by falling size, so the nearest
+    slots above are those passed last; of a range's slots the last rank is the smallest.
     """
-    gaps: list[int] = []  # sorted; runs[g] are runs of sequences with gap g
-    runs: dict[int, list[tuple[int, int]]] = {}
-    out: list[tuple[int, int, int, int, int]] = []
-    made = 0
-
-    def add(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in runs:
-                bisect.insort(gaps, gap)
-                runs[gap] = []
-            runs[gap].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-
-        def fill(gap: int, first: int, n: int) -> None:
-            """Put documents into n sequences of one gap, each filled before the next as best fit does."""
-            nonlocal left, rank
-            each = gap // length
-            full = min(n, left // each)
-            for k in range(each if full else 0):
-                out.append((length, rank + k * full, full, first, capacity - gap + k * length))
-            rank, left = rank + each * full, left - each * full
-            add(gap - each * length, first, full)
-            if full < n and left:  # fewer documents are left than one sequence holds
-                for k in range(left):
-                    out.append((length, rank + k, 1, first + full, capacity - gap + k * length))
-                add(gap - left * length, first + full, 1)
-                rank, left, full = rank + left, 0, full + 1
-            if full < n:
-                add(gap, first + full, n - full)
-
-        while left:
-            at = bisect.bisect_left(gaps, length)
-            if at == len(gaps):
-                need = -(-left // (capacity // length))
-                fill(capacity, made, need)
-                made += need
+    stack: list[list[int]] = []
+    out = []
+    for part in sorted({p for p, _ in left}):
+        first, n = 0, left.get((part, _DOCUMENT), 0)
+        while n and stack:
+            take = min(n, stack[-1][1])
+            out.append((part, first, take, stack[-1][0], stack[-1][1] - 1))
+            first, n = first + take, n - take
+            stack[-1][1] -= take
+            if not stack[-1][1]:
+                stack.pop()
+        if left.get((part, _SLOT), 0):
+            stack.append([part, left[part, _SLOT]])
+    return out
+
+
+def _round(state: DataFrame, low: int, high: int, parts: int, scratch: Scratch, capacity: int) -> tuple[DataFrame | None, int]:
+    """One round over ``state`` (kind, id, size), slots for documents of up to ``high``: placements (rid, length, seq, gap, offset) and their number."""
+    spark = state.sparkSession
+    documents = state.where(F.col("kind") == 1).where(F.col("size").between(low + 1, high)).withColumns({"slot": F.lit(0), "whole": F.col("size")})
+    slots = F.greatest(F.lit(1), F.floor(F.col("size") / high)).cast("int")
+    gaps = state.where(F.col("kind") == 0).where(F.col("size") > low).withColumn("slots", slots)
+    gaps = gaps.select("kind", "id", F.floor(F.col("size") / F.col("slots")).cast("long").alias("size"), F.explode(F.sequence(F.lit(1), "slots")).alias("slot"), F.col("size").alias("whole"))
+    order = [F.col("size").desc(), "kind", "id", "slot"]
+    both = documents.select(*gaps.columns).unionByName(gaps).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    swept = scratch.keep(both.select("kind", "id", "whole").mapInArrow(_sweep, _SWEPT), "swept")
+    left = {(r["part"], r["what"]): r["n"] for r in swept.groupBy("part", "what").agg(F.count(F.lit(1)).alias("n")).collect()}  # three rows a range
+    matched = sum(n for (_, what), n in left.items() if what == _MATCH)
+    pairs = swept.where(F.col("what") == _MATCH).select("rid", "length", "seq", "gap")
+    across = settle(left)
+    if across:
+        matched += sum(x[2] for x in across)
+        table = F.broadcast(spark.createDataFrame(across, "part int, first long, n long, slot_part int, last long"))  # two rows a range
+        takers = swept.where(F.col("what") == _DOCUMENT).join(table, "part").where("rank >= first and rank < first + n")
+        takers = takers.select("rid", "length", F.col("slot_part").alias("part"), (F.col("last") - (F.col("rank") - F.col("first"))).alias("rank"))
+        pairs = pairs.unionByName(takers.join(swept.where(F.col("what") == _SLOT).select("part", "rank", "seq", "gap"), ["part", "rank"]).select("rid", "length", "seq", "gap"))
+    if not matched:
+        return None, 0
+    ahead = Window.partitionBy("seq").orderBy("rid").rowsBetween(Window.unboundedPreceding, -1)  # the documents of one sequence
+    offset = F.lit(capacity) - F.col("gap") + F.coalesce(F.sum("length").over(ahead), F.lit(0))
+    placed = scratch.keep(pairs.withColumn("offset", offset.cast("long")), "placed")
+    scratch.drop(swept)
+    return placed, matched
+
+
+def _moved(old: DataFrame, new: DataFrame, scratch: Scratch) -> DataFrame:
+    new = scratch.keep(new, "state")
+    scratch.drop(old)
+    return new
+
+
+def _landing(state: DataFrame, low: int, high: int, capacity: int, opened: int) -> tuple[DataFrame, int]:
+    """Placements of the last documents of a class, in the largest gaps and in new sequences, by best fit; and the new ones' count."""
+    documents = state.where(F.col("kind") == 1).where(F.col("size").between(low + 1, high)).select("size", "id").collect()  # LANDING rows
+    gaps = state.where(F.col("kind") == 0).where(F.col("size") > low).orderBy(F.col("size").desc(), "id").limit(LANDING).select("size", "id").collect()
+    free = sorted((g, i) for g, i in gaps)
+    first, rows = dict((i, g) for g, i in gaps), []
+    for size, rid in sorted(map(tuple, documents), key=lambda d: (-d[0], d[1])):
+        at = bisect.bisect_left(free, (size, -(1 << 63)))
+        if at == len(free):
+            opened += 1
+            free.append((capacity, -opened))
+            first[-opened] = capacity
+        gap, seq = free.pop(at)
+        rows.append((rid, size, seq, first[seq], capacity - gap))
+        if gap > size:
+            bisect.insort(free, (gap - size, seq))
+    return state.sparkSession.createDataFrame(rows, "rid long, length long, seq long, gap long, offset long"), opened
+
+
+def best_fit(sizes: DataFrame, capacity: int, scratch: Scratch) -> DataFrame:
+    """(rid, seq, offset) of every row of ``sizes`` (rid long, length long)."""
+    spark = sizes.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    classes, high = [], capacity // 2
+    while high:
+        low = high // 2 if not classes else high // CLASS
+        classes.append((low, high))
+        high = low
+    # more than half a sequence: each opens one of its own, named as itself
+    large = sizes.where(F.col("length") > capacity // 2)
+    done = [large.select("rid", F.col("rid").alias("seq"), F.lit(0).cast("long").alias("offset"))]
+    rest = sizes.where(F.col("length") <= capacity // 2).select(F.lit(1).alias("kind"), F.col("rid").alias("id"), F.col("length").alias("size"))
+    state = scratch.keep(large.where(F.col("length") < capacity).select(F.lit(0).alias("kind"), F.col("rid").alias("id"), (F.lit(capacity) - F.col("length")).alias("size")).unionByName(rest), "state")
+    opened, few = 0, False
+    for low, high in classes:
+        while True:
+            left, top, tokens = state.where(F.col("kind") == 1).where(F.col("size").between(low + 1, high)).agg(F.count(F.lit(1)), F.max("size"), F.sum("size")).first()
+            if not left:
+                break
+            if few and left > LANDING:
+                need = max(1, -(-tokens // capacity), left // (capacity // (low + 1)))
+                fresh = spark.range(opened, opened + need).select(F.lit(0).alias("kind"), (-1 - F.col("id")).alias("id"), F.lit(capacity).cast("long").alias("size"))
+                opened, few = opened + need, False
+                state = _moved(state, state.unionByName(fresh), scratch)
+            if left <= LANDING:
+                placed, opened = _landing(state, low, high, capacity, opened)
+                n = left
             else:
-                gap = gaps.pop(at)
-                for first, n in runs.pop(gap):
-                    if left:
-                        fill(gap, first, n)
-                    else:
-                        add(gap, first, n)
-    return out, made
+                placed, n = _round(state, low, top, parts, scratch, capacity)
+            few = n < FEW * left
+            if placed is None:
+                continue
+            done.append(placed.select("rid", "seq", "offset"))
+            less = placed.groupBy(F.col("seq").alias("id")).agg(F.sum("length").alias("less"), F.max("gap").alias("gap")).withColumn("kind", F.lit(0))
+            new = less.where("gap > less").join(state, ["kind", "id"], "left_anti").select("kind", "id", (F.col("gap") - F.col("less")).alias("size"))  # opened by the landing
+            gone = less.select("kind", "id", "less").unionByName(placed.select(F.lit(1).alias("kind"), F.col("rid").alias("id"), F.col("length").alias("less")))
+            kept = state.join(gone, ["kind", "id"], "left").withColumn("size", F.col("size") - F.coalesce("less", F.lit(0))).where("size > 0").select("kind", "id", "size")
+            state = _moved(state, kept.unionByName(new), scratch)
+        few = False
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+#: Placed rows that may be broadcast to their pieces.
+BROADCAST_ROWS = 1 << 20
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 4096, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, where asked) of every piece."""
+    if capacity < 2:
+        raise ValueError("a sequence holds two ids or more")
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    pieces = scratch.keep(pieces_of(docs, tokenizer_path, end_id, capacity, with_ids), "pieces")
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
-    if not counts:
-        return pieces.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    intervals, _ = best_fit_rounds(counts, capacity)
-
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    order = [F.col("length").desc(), F.col("doc_id").asc_nulls_first(), F.col("piece"), F.col("ids_crc32")]
-    ranged = scratch.keep(pieces.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "ranged")
-    in_part = F.shiftrightunsigned("at", 33)
-    sizes = {r["p"]: r["n"] for r in ranged.groupBy(in_part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a partition
-    first, total = np.zeros(max(sizes) + 1, np.int64), 0
-    for p in sorted(sizes):
-        first[p] = total
-        total += sizes[p]
-
-    base, at = {}, 0
-    for length in sorted(counts, reverse=True):
-        base[length] = at
-        at += counts[length]
-    table = np.array([(base[n] + rank, seq, off) for n, rank, _, seq, off in intervals], np.int64)
-    table = table[np.argsort(table[:, 0], kind="stable")]
-    shared = spark.sparkContext.broadcast((first, table))  # partitions and runs, both bounded by settings
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, table = shared.value
-        for b in batches:
-            at = b.column("at").to_numpy()
-            rank = first[at >> 33] + (at & ((1 << 33) - 1))
-            row = table[np.searchsorted(table[:, 0], rank, side="right") - 1]
-            kept = [i for i, n in enumerate(b.schema.names) if n != "at"]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(i) for i in kept] + [pa.array(row[:, 1] + rank - row[:, 0]), pa.array(row[:, 2])], [b.schema.names[i] for i in kept] + ["sequence_id", "offset"]
-            )
-
-    scratch.drop(pieces)
-    return ranged.mapInArrow(place, _PIECES + (", ids binary" if with_ids else "") + ", sequence_id long, offset long")
+    cut = pieces_of(docs, tokenizer_path, end_id, capacity, with_ids).withColumn("rid", F.monotonically_increasing_id())
+    pieces = scratch.keep(cut, "pieces")
+    placed = scratch.keep(best_fit(pieces.select("rid", "length"), capacity, scratch), "places")
+    few = pieces.count() <= BROADCAST_ROWS
+    out = pieces.join(F.broadcast(placed) if few else placed, "rid")
+    return out.select(*[c for c in pieces.columns if c != "rid"], F.col("seq").alias("sequence_id"), "offset")
