@@ -379,28 +379,49 @@ def test_image_copies(spark):
     assert image_copies.image_copies(df.limit(0)).count() == 0
 
 
-def brute_copies(pictures):
+def brute_copies(pictures, all_pairs=False):
     both = [image_copies.describe(p[None])[0] for p in pictures]
+    entries = [image_copies.entries_of(i, d) for i, (_, d) in enumerate(both)]
     both = [(c, np.unpackbits(d, axis=1).astype(np.float32) * 2 - 1) for c, d in both]
-    hit = image_copies.match_blocks(both, both)
-    hit |= hit.T
-    np.fill_diagonal(hit, False)
-    return hit.sum(axis=1)
+    hit = np.zeros((len(both), len(both)), bool)
+    for i in range(len(both)):
+        for j in range(i):
+            meet = all(len(np.unique(c)) >= 2 for c in image_copies._met_corners(entries[j], entries[i]))
+            hit[i, j] = hit[j, i] = (all_pairs or meet) and image_copies.are_copies(both[j], both[i])
+    return hit
 
 
-@pytest.mark.parametrize("wide", [128, 2])
-def test_image_copies_with_shared_tiles(spark, monkeypatch, wide):
+def picture_frame(spark, rows):
+    return spark.createDataFrame([(i, *p.shape[::-1], bytearray(np.ascontiguousarray(p).tobytes())) for i, p in rows], "id long, width int, height int, pixels binary")
+
+
+@pytest.mark.parametrize(("wide", "block", "parts"), [(128, 96, 8), (2, 96, 3), (2, 7, 8), (10, 5, 2)])
+def test_image_copies_with_shared_tiles(spark, monkeypatch, wide, block, parts):
     monkeypatch.setattr(image_copies, "WIDE", wide)
+    monkeypatch.setattr(image_copies, "BLOCK", block)
     rng = np.random.default_rng(9)
     bank = rng.integers(0, 255, (40, 8, 8)).repeat(4, axis=1).repeat(4, axis=2).astype(np.uint8)
     pictures = [np.block([[bank[rng.integers(8 * (3 * y + x) % 33, 8 * (3 * y + x) % 33 + 7)] for x in range(3)] for y in range(3)]) for _ in range(60)]
-    rows = [(i, 96, 96, bytearray(p.tobytes())) for i, p in enumerate(pictures)]
-    df = spark.createDataFrame(rows, "id long, width int, height int, pixels binary").repartition(8)
-    got = {r["id"]: r["n_links"] for r in image_copies.image_copies(df).collect()}
-    want = brute_copies(pictures)
+    got = {r["id"]: r["n_links"] for r in image_copies.image_copies(picture_frame(spark, enumerate(pictures)).repartition(parts)).collect()}
+    want = brute_copies(pictures).sum(axis=1)
     assert want.sum() > 60 and [got[i] for i in range(60)] == want.tolist()
 
 
+def test_recall_of_edited_copies(spark):
+    """Against comparing all pairs: more than a thousand links of pictures that share tiles and are cropped, noisy and so on."""
+    rng = np.random.default_rng(13)
+    base = [rng.integers(0, 255, (24, 24)).repeat(4, axis=0).repeat(4, axis=1).astype(np.uint8) for _ in range(24)]
+    for p in base:  # every one has a tile of a few
+        p[12:44, 12:44] = base[int(rng.integers(3))][12:44, 12:44]
+    edits = [lambda a: a, lambda a: a[10:90, 20:], lambda a: a[0:80, 0:84], lambda a: (a * 0.7 + 30).astype(np.uint8), lambda a: np.rot90(a), lambda a: np.clip(a + rng.normal(0, 5, a.shape), 0, 255).astype(np.uint8), lambda a: np.clip(a + rng.normal(0, 9, a.shape), 0, 255).astype(np.uint8), lambda a: np.flip(a)]
+    pictures = [np.ascontiguousarray(f(b)) for b in base for f in edits]
+    got = {r["id"]: (r["n_links"], r["component_id"]) for r in image_copies.image_copies(picture_frame(spark, enumerate(pictures)).repartition(6)).collect()}
+    ours, whole = brute_copies(pictures), brute_copies(pictures, all_pairs=True)
+    assert [got[i][0] for i in range(len(pictures))] == ours.sum(axis=1).tolist()
+    assert whole.sum() // 2 >= 600 and ours.sum() >= 0.97 * whole.sum()
+    assert np.mean([got[8 * i + k][1] == got[8 * i][1] for i in range(24) for k in range(8)]) > 0.97
+
+
 def test_image_copies_whose_corners_occur_elsewhere(spark):
     rng = np.random.default_rng(11)
     patches = rng.integers(80, 120, (4, 24, 24)).astype(np.uint8)
@@ -425,10 +446,11 @@ def test_small_crops_of_large_images(spark, monkeypatch):
     df = spark.createDataFrame(rows, "id long, width int, height int, pixels binary").repartition(3)
     got = {r["id"]: r["component_id"] for r in image_copies.image_copies(df).collect()}
     assert [got[i] for i in range(12)] == [*range(6), *range(6)]
-    both = [(c, np.unpackbits(d, axis=1).astype(np.float32) * 2 - 1) for c, d in (image_copies.describe(p[None])[0] for p in large + crops)]
-    want = image_copies.match_blocks(both, both)
+    want = brute_copies(large + crops)
     monkeypatch.setattr(image_copies, "PRODUCT", 5000)
-    assert (image_copies.match_blocks(both, both) == want).all() and want[:6, 6:].diagonal().all()
+    assert (brute_copies(large + crops) == want).all() and want[:6, 6:].diagonal().all()
+    twice = spark.createDataFrame([(i % 3, *r[1:], "x") for i, r in enumerate(rows)], "id long, width int, height int, pixels binary, cid string")
+    assert sorted({(r["id"], r["component_id"]) for r in image_copies.image_copies(twice).collect()}) == [(0, 0), (1, 1), (2, 2)]
 
 
 def test_pipeline(spark, tmp_path):

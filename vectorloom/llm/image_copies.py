@@ -2,16 +2,20 @@
 
 Each image gets corners at two scales, an orientation from the centroid of brightness around each, and 256
 binary brightness tests in the turned frame. Equal images are one class from here on. Descriptors are cut into
-tables: two descriptors that agree on a whole table meet by hash range. Two images with one table value in common
-are a candidate pair; the holders of a value are cut into blocks of bounded size, so every pair of them is made,
-none by way of a third image. The pairs' clusters are cut into blocks too; two blocks with a candidate pair meet
-in a task that takes all Hamming distances of their descriptors by one matrix product, keeps mutual nearest
-matches, and asks for geometric consensus: enough matches must agree on one turn, scale and shift. Only links a
-class and a spanning forest leave the task.
+tables: two descriptors that agree on a whole table meet by hash range. Two images that meet by SHARED corners each are a
+candidate pair, and only these are compared: all Hamming distances of their descriptors, mutual nearest matches, then
+geometric consensus: enough matches must agree on one turn, scale and shift. No other image decides about a pair.
+
+Values with at most WIDE holders: a task writes their pairs as packed numbers (at most WIDE / 2 a holder), another adds
+up each pair's corners, and the candidates are compared in tasks that hold each image once. Values with more holders
+never make pairs: images connected by such values are a cluster, clusters are cut into blocks of bounded size, and two
+blocks meet in a task that finds candidates by a product of two 0/1 matrices and compares them there. Only links a class
+and a spanning forest leave such a task.
 
 Edge cases: an image that is null, too small or has a size that doesn't fit its pixels has no corners and is
 linked with its exact copies only (null pixels: with nothing); a null id is linked with nothing and has a null
-component; rows that repeat an id are one vertex; an empty table gives no rows; other columns are ignored.
+component; rows that repeat an id are one vertex, whose links are those of all its images; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectorloom.llm.components import connected_components
-from vectorloom.llm.ngram_join import BROADCAST_ROWS, _blob, _cut, _emit, _flushes, _forest, _pairs
+from vectorloom.llm.ngram_join import BROADCAST_ROWS, _blob, _cut, _emit, _forest, overlaps
 from vectorloom.runtime import Scratch, ship
 
 #: The strongest corners kept of each CELL x CELL pixels, at full and half size: their number grows with the area.
 CORNERS, CELL = (16, 8), 96
 RADIUS, BITS, TABLES, TABLE_BITS, TURNS = 6, 256, 6, 42, 32
-#: Holders of a table value that meet in one task, and pairs that a task holds before it drops repeats.
-WIDE, HELD = 128, 1 << 22
+#: Corners of each image that have to take part in table matches; holders of a value up to which its pairs are written.
+SHARED, WIDE = 2, 128
 MAX_DISTANCE, MIN_AGREE, BLOCK = 48, 4, 96
 #: Distances that a task holds at a time.
 PRODUCT = 1 << 26
@@ -186,79 +190,159 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, ["id", "hi", "lo", "n", "corners", "bits"])
 
 
+#: Entries that a map task holds before it sends them.
+FLUSH = 1 << 20
+_ENTRY = np.dtype([("h", "<u8"), ("own", "<i8"), ("corner", "<i4")])
+
+
+def entries_of(own: int, descriptors: np.ndarray) -> np.ndarray:
+    """One entry for each different table value of an image, with the first corner that has it."""
+    keys = table_keys(descriptors)
+    h, first = np.unique(keys, return_index=True)
+    out = np.empty(len(h), _ENTRY)
+    out["h"], out["own"], out["corner"] = h, own, first // TABLES
+    return out
+
+
+def _bits_of(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8).reshape(-1, BITS // 8)
+
+
 def _parts(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def take(b):
+        held, n = [], 0
+
+        def send() -> pa.RecordBatch:
+            e = np.concatenate(held)
+            e = e[np.argsort(e["h"], kind="stable")]
+            bucket, col = [], []
+            for k, parts in _cut(e["h"], buckets, e):
+                bucket.append(k)
+                col.append(parts[0])
+            return _emit(bucket, [col], ["entries"])
+
+        for b in batches:
             for cid, raw in zip(b.column("cid").to_pylist(), b.column("bits").to_pylist(), strict=True):
-                yield cid, np.unique(table_keys(np.frombuffer(raw, np.uint8).reshape(-1, BITS // 8)))
+                held.append(entries_of(cid, _bits_of(raw)))
+                n += len(held[-1])
+                if n >= FLUSH:
+                    yield send()
+                    held, n = [], 0
+        if held:
+            yield send()
+
+    return run
+
+
+_MEETING = np.dtype([("a", "<i8"), ("b", "<i8"), ("ca", "<i4"), ("cb", "<i4")])
+_HELD_PAIRS = 1 << 20
+
+
+def _meetings(buckets: int):
+    """Of one range of values: who meets whom by which corners, packed by pair; of wide values the stars' edges (a, b)."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        e = _blob(table, "entries", _ENTRY)
+        e = e[np.lexsort((e["own"], e["h"]))]
+        first = np.flatnonzero(np.r_[True, e["h"][1:] != e["h"][:-1]][: len(e)])
+        n = np.diff(np.r_[first, len(e)])
+        bucket, packed, stars = [], [], [np.empty((0, 2), np.int64)]
 
-        for h, own in _flushes(batches, take):
-            o = np.argsort(h, kind="stable")
-            h, own = h[o], own[o]
-            bucket, cols = [], [[], []]
-            for k, parts in _cut(h, buckets, h, own):
+        def send(found: list[np.ndarray]) -> None:
+            m = np.unique(np.concatenate(found))
+            m = m[m["a"] != m["b"]]  # an id with two images
+            to = ((m["a"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ m["b"].astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)
+            to = (to % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            cuts = np.searchsorted(to[order], np.arange(buckets + 1))
+            for k in np.flatnonzero(np.diff(cuts)).tolist():
                 bucket.append(k)
-                for c, p in zip(cols, parts, strict=True):
-                    c.append(p)
-            yield _emit(bucket, cols, ["h", "own"])
+                packed.append(m[order[cuts[k] : cuts[k + 1]]].tobytes())
+
+        found, held = [], 0
+        for m in np.unique(n[n > 1]).tolist():
+            at = first[n == m][:, None] + np.arange(m)
+            if m > WIDE:
+                own = e["own"][at]
+                stars.append(np.stack((own[:, 1:].ravel(), np.repeat(own[:, 0], m - 1)), axis=1))
+                continue
+            i, j = np.triu_indices(m, 1)
+            step = max(1, _HELD_PAIRS // len(i))
+            for k in range(0, len(at), step):
+                x, y = e[at[k : k + step][:, i]].ravel(), e[at[k : k + step][:, j]].ravel()
+                one = np.empty(len(x), _MEETING)
+                one["a"], one["b"], one["ca"], one["cb"] = x["own"], y["own"], x["corner"], y["corner"]
+                found.append(one)
+                held += len(one)
+                if held >= _HELD_PAIRS:
+                    send(found)
+                    found, held = [], 0
+        if found:
+            send(found)
+        stars = np.unique(np.concatenate(stars), axis=0)
+        none = len(packed)
+        return pa.table({
+            "bucket": pa.concat_arrays([pa.array(bucket, pa.int64()), pa.nulls(len(stars), pa.int64())]), "meetings": pa.concat_arrays([pa.array(packed, pa.binary()), pa.nulls(len(stars), pa.binary())]),
+            "a": pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(stars[:, 0], pa.int64())]), "b": pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(stars[:, 1], pa.int64())]),
+        })
 
     return run
 
 
-def _holders(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """All pairs (a < b) of holders of one value; of values with more than WIDE holders the holders (a) and the value."""
-    h, own = _pairs(_blob(table, "h", "<u8"), _blob(table, "own", "<i8"))
-    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
-    n = np.diff(np.r_[first, len(h)])
-    found, held = [np.empty((0, 2), np.int64)], 0
-    for m in np.unique(n[(n > 1) & (n <= WIDE)]).tolist():
-        i, j = np.triu_indices(m, 1)
-        starts = first[n == m]
-        step = max(1, HELD // len(i))
-        for at in range(0, len(starts), step):
-            group = own[starts[at : at + step, None] + np.arange(m)]  # in order of owner
-            found.append(np.stack((group[:, i].ravel(), group[:, j].ravel()), axis=1))
-            held += len(found[-1])
-            if held >= HELD:
-                found = [np.unique(np.concatenate(found), axis=0)]
-                held = 0
-    pairs = np.unique(np.concatenate(found), axis=0)
-    wide = np.repeat(n > WIDE, n)
-    none = lambda k: pa.nulls(k, pa.int64())
-    a = pa.array(np.concatenate((pairs[:, 0], own[wide])), pa.int64())
-    b = pa.concat_arrays([pa.array(pairs[:, 1], pa.int64()), none(int(wide.sum()))])
-    return pa.table({"a": a, "b": b, "h": pa.concat_arrays([none(len(pairs)), pa.array(h[wide].view(np.int64), pa.int64())])})
-
-
-def _wide_pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    own, block = table.column("a").to_numpy(), table.column("block").to_numpy()
-    x, y = own[block == key[1].as_py()], own[block == key[2].as_py()]
-    a, b = np.repeat(x, len(y)), np.tile(y, len(x))
-    one = a < b if key[1] == key[2] else a != b
-    return pa.table({"a": pa.array(np.minimum(a, b)[one], pa.int64()), "b": pa.array(np.maximum(a, b)[one], pa.int64())})
-
-
-def _in_blocks(df: DataFrame) -> DataFrame:
-    """Rows with ``block`` of ``blocks``, once for each block that theirs meets."""
-    df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return df.withColumns({"left_block": F.least("block", "other"), "right_block": F.greatest("block", "other")})
+def _candidates(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Pairs that meet by SHARED different corners of each."""
+    m = np.unique(_blob(table, "meetings", _MEETING))
+    pair = np.cumsum(np.r_[False, (m["a"][1:] != m["a"][:-1]) | (m["b"][1:] != m["b"][:-1])]) if len(m) else np.empty(0, np.int64)
+    enough = np.ones(int(pair[-1]) + 1 if len(m) else 0, bool)
+    for c in ("ca", "cb"):
+        enough &= np.bincount(np.unique(np.stack((pair, m[c]), axis=1), axis=0)[:, 0], minlength=len(enough)) >= SHARED
+    first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]][: len(m)])[enough]
+    return pa.table({"a": pa.array(m["a"][first], pa.int64()), "b": pa.array(m["b"][first], pa.int64())})
+
+
+def _signed(raw: bytes) -> np.ndarray:
+    return np.unpackbits(_bits_of(raw), axis=1).astype(np.float32) * 2 - 1
+
+
+def are_copies(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> bool:
+    """Whether two images, given as (corners, +-1 descriptors), are copies; the same in either order."""
+    (ca, da), (cb, db) = a, b
+    if min(len(da), len(db)) < MIN_AGREE:
+        return False
+    near, distance, back = _nearest(da, db)
+    ok = (distance <= MAX_DISTANCE) & (back[near] == np.arange(len(da)))
+    return bool(ok.sum() >= MIN_AGREE and agreeing(ca[ok], cb[near[ok]]) >= MIN_AGREE)
+
+
+def _compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Links of one task's candidates: rows with ``other`` are pairs, the others images."""
+    cid, cnt, other = (table.column(n).to_pylist() for n in ("cid", "cnt", "other"))
+    corners, bits = table.column("corners").to_pylist(), table.column("bits").to_pylist()
+    raw: dict[int, list[int]] = {}  # an id may have several images
+    for k, (c, o) in enumerate(zip(cid, other, strict=True)):
+        if o is None:
+            raw.setdefault(c, []).append(k)
+    held: dict[int, list[tuple]] = {}
+
+    def images(c: int) -> list[tuple]:
+        if c not in held:
+            if len(held) >= 4096:
+                held.clear()
+            held[c] = [(np.frombuffer(corners[k], "<f4").reshape(-1, 4), _signed(bits[k])) for k in raw[c]]
+        return held[c]
+
+    out = []
+    for c, o in sorted((c, o) for c, o in zip(cid, other, strict=True) if o is not None):
+        if any(are_copies(x, y) for x in images(c) for y in images(o)):
+            out += [(c, o, cnt[raw[o][0]]), (o, c, cnt[raw[c][0]])]
+    a, b, links = zip(*out, strict=True) if out else ([], [], [])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "links": pa.array(links, pa.int64())})
 
 
 def _block(column: str) -> F.Column:
     return F.pmod(F.xxhash64(column), F.col("blocks")).cast("int")
 
 
-def candidate_pairs(sets: DataFrame, buckets: int, scratch: Scratch) -> DataFrame:
-    """(a, b), a < b: all pairs of ``sets`` (cid, bits) with a table value in common."""
-    entries = sets.select("cid", "bits").mapInArrow(_parts(buckets), "bucket long, h binary, own binary")
-    met = scratch.keep(entries.groupBy("bucket").applyInArrow(_holders, "a long, b long, h long"), "holders")
-    wide = met.where("b is null").select("h", "a")
-    sizes = wide.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / WIDE).cast("int").alias("blocks"))
-    wide = _in_blocks(wide.join(sizes, "h").withColumn("block", _block("a")))
-    wide = wide.select("h", "left_block", "right_block", "block", "a").groupBy("h", "left_block", "right_block").applyInArrow(_wide_pairs, "a long, b long")
-    return scratch.keep(met.where("b is not null").select("a", "b").unionByName(wide).distinct(), "pairs")
-
-
 def _nearest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of +-1 descriptors: each a's nearest b, its distance, and each b's nearest a; PRODUCT distances at a time."""
     near, back, best = np.empty(len(a), np.int64), np.zeros(len(b), np.int64), np.full(len(b), np.inf)
@@ -273,50 +357,33 @@ def _nearest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return near, distance, back
 
 
-def match_blocks(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Which images of two blocks, given as (corners, +-1 descriptors), are copies."""
-    out = np.zeros((len(left), len(right)), bool)
-    all_right = np.concatenate([d for _, d in right])
-    at = np.concatenate(([0], np.cumsum([len(d) for _, d in right])))
-    for i, (ca, da) in enumerate(left):
-        if len(da) < MIN_AGREE:
-            continue
-        whole = len(da) * len(all_right) <= PRODUCT
-        if whole:
-            distance = (BITS - da @ all_right.T) / 2
-        for j in np.flatnonzero(np.diff(at) >= MIN_AGREE).tolist():
-            if whole:
-                d = distance[:, at[j] : at[j + 1]]
-                if (d.min(axis=1) <= MAX_DISTANCE).sum() < MIN_AGREE:
-                    continue
-                near = d.argmin(axis=1)
-                ok = (d[np.arange(len(d)), near] <= MAX_DISTANCE) & (d.argmin(axis=0)[near] == np.arange(len(d)))
-            else:
-                near, least, back = _nearest(da, right[j][1])
-                ok = (least <= MAX_DISTANCE) & (back[near] == np.arange(len(da)))
-            if ok.sum() >= MIN_AGREE:
-                out[i, j] = agreeing(ca[ok], right[j][0][near[ok]]) >= MIN_AGREE
-    return out
+def _met_corners(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The corners by which two images meet, one pair for each common value; entries in order of value."""
+    _, i, j = np.intersect1d(left["h"], right["h"], assume_unique=True, return_indices=True)
+    return left["corner"][i], right["corner"][j]
 
 
 def _evaluate(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     cluster, ids, block, cnt = (table.column(c).to_numpy() for c in ("cluster", "cid", "block", "cnt"))
     corners = [np.frombuffer(r, "<f4").reshape(-1, 4) for r in table.column("corners").to_pylist()]
-    bits = [np.unpackbits(np.frombuffer(r, np.uint8).reshape(-1, BITS // 8), axis=1).astype(np.float32) * 2 - 1 for r in table.column("bits").to_pylist()]
-    both = list(zip(corners, bits, strict=True))
+    bits = table.column("bits").to_pylist()
+    entries = [entries_of(int(c), _bits_of(r)) for c, r in zip(ids, bits, strict=True)]
     a, b, links = [], [], []
-    order = np.argsort(cluster, kind="stable")
+    order = np.lexsort((ids, cluster))
     for at in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
         i, j = np.flatnonzero(block[at] == key[1].as_py()), np.flatnonzero(block[at] == key[2].as_py())
         if not len(i) or not len(j):
             continue
-        hit = match_blocks([both[at[k]] for k in i], [both[at[k]] for k in j])
-        if key[1] == key[2]:
-            hit = hit | hit.T
-            np.fill_diagonal(hit, False)
+        meet = overlaps([entries[k]["h"] for k in at[i]], [entries[k]["h"] for k in at[j]]) >= SHARED
         linked = np.zeros((len(at), len(at)), bool)
-        linked[np.ix_(i, j)] |= hit
-        linked[np.ix_(j, i)] |= hit.T
+        signed = {k: _signed(bits[at[k]]) for k in set(i) | set(j)}
+        for x, y in zip(*(v.tolist() for v in np.nonzero(meet)), strict=True):
+            p, q = int(i[x]), int(j[y])
+            if ids[at[p]] == ids[at[q]] or key[1] == key[2] and p > q:
+                continue
+            p, q = min(p, q), max(p, q)  # in order of id, as everywhere
+            if all(len(np.unique(c)) >= SHARED for c in _met_corners(entries[at[p]], entries[at[q]])):
+                linked[p, q] = linked[q, p] = are_copies((corners[at[p]], signed[p]), (corners[at[q]], signed[q]))
         count = linked @ cnt[at]
         some = count > 0
         a.append(ids[at][some])
@@ -326,6 +393,48 @@ def _evaluate(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({n: pa.array(np.concatenate(x or empty).astype(np.int64), pa.int64()) for n, x in (("a", a), ("b", b), ("links", links))})
 
 
+_LINKS = "a long, b long, links long"
+
+
+def _wide_links(sets: DataFrame, clusters: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links within clusters (v, label) of wide values, block by block."""
+    members = sets.join(clusters.select(F.col("v").alias("cid"), F.col("label").alias("cluster")), "cid")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / (BLOCK * sum(CORNERS)))).cast("int")
+    sizes = members.groupBy("cluster").agg(blocks.alias("blocks"))
+    met = members.join(sizes, "cluster").withColumn("block", _block("cid"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.withColumns({"left_block": F.least("block", "other"), "right_block": F.greatest("block", "other")})
+    met = met.select("cluster", "left_block", "right_block", "block", "cid", "cnt", "corners", "bits")
+    return scratch.keep(met.groupBy("cluster", "left_block", "right_block").applyInArrow(_evaluate, _LINKS), "wide")
+
+
+def links_of(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b, links): edges that connect the copies among ``sets`` (cid, cnt, n, corners, bits); ``links`` of a add up to its number."""
+    total = int(sets.agg(F.sum("n")).first()[0] or 0)
+    buckets = max(128, TABLES * total >> 19)
+    entries = sets.select("cid", "bits").mapInArrow(_parts(buckets), "bucket long, entries binary")
+    met = scratch.keep(entries.groupBy("bucket").applyInArrow(_meetings(buckets), "bucket long, meetings binary, a long, b long"), "met")
+    pairs = met.where("meetings is not null").select("bucket", "meetings").groupBy("bucket").applyInArrow(_candidates, "a long, b long")
+    stars = met.where("a is not null").select("a", "b")
+    wide = None
+    if stars.head(1):
+        clusters = connected_components(stars, scratch)
+        wide = _wide_links(sets, clusters, scratch)
+        few = clusters.count() <= BROADCAST_ROWS
+        side = lambda name: (F.broadcast if few else lambda df: df)(clusters.select(F.col("v").alias(name), F.col("label").alias(f"of_{name}")))
+        # two images of one wide cluster are compared there
+        pairs = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where("of_a is null or of_b is null or of_a <> of_b").select("a", "b")
+    pairs = scratch.keep(pairs, "pairs")
+    tasks = max(64, total // (BLOCK * sum(CORNERS)))
+    pairs = pairs.withColumn("task", F.pmod(F.xxhash64("a"), F.lit(tasks)))
+    images = pairs.select("task", F.explode(F.array("a", "b")).alias("cid")).distinct()
+    images = scratch.keep(images, "images")
+    images = sets.join(F.broadcast(images) if images.count() <= BROADCAST_ROWS else images, "cid").select("task", "cid", "cnt", "corners", "bits", F.lit(None).cast("long").alias("other"))
+    asked = pairs.select("task", F.col("a").alias("cid"), F.lit(None).cast("long").alias("cnt"), F.lit(None).cast("binary").alias("corners"), F.lit(None).cast("binary").alias("bits"), F.col("b").alias("other"))
+    found = scratch.keep(images.unionByName(asked).groupBy("task").applyInArrow(_compare, _LINKS), "links")
+    return found if wide is None else found.unionByName(wide)
+
+
 def image_copies(images: DataFrame) -> DataFrame:
     """id, n_corners, component_id, n_links of every row of ``images`` (id, width, height, pixels: grey bytes)."""
     spark = images.sparkSession
@@ -339,26 +448,7 @@ def image_copies(images: DataFrame) -> DataFrame:
     sets = described.join(F.broadcast(rep) if few else rep, ["id", "hi", "lo"]).select("cid", "cnt", "n", "corners", "bits")
     if described.groupBy("id", "hi", "lo").count().where("id is not null and count > 1").head(1):  # rows that repeat whole
         sets = sets.dropDuplicates(["cid", "bits"])
-    total = int(sets.agg(F.sum("n")).first()[0] or 0)
-    buckets = max(128, TABLES * total >> 19)
-    pairs = candidate_pairs(sets, buckets, scratch)
-    clusters = connected_components(pairs, scratch)
-
-    corners = sets.select(F.col("cid").alias("v"), "n").groupBy("v").agg(F.max("n").alias("n"))
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / (BLOCK * sum(CORNERS)))).cast("int")
-    sizes = clusters.join(corners, "v").groupBy("label").agg(blocks.alias("blocks"))
-    in_cluster = clusters.select(F.col("v").alias("a"), F.col("label").alias("cluster")).join(sizes.withColumnRenamed("label", "cluster"), "cluster")
-    met = pairs.join(F.broadcast(in_cluster) if clusters.count() <= BROADCAST_ROWS else in_cluster, "a")
-    met = met.withColumns({"left": _block("a"), "right": _block("b")})
-    batches = max(64, total // (BLOCK * sum(CORNERS)))
-    met = met.withColumns({
-        "left_block": F.least("left", "right"), "right_block": F.greatest("left", "right"),
-        "task": F.when(F.col("blocks") == 1, -1 - F.pmod(F.xxhash64("cluster"), F.lit(batches))).otherwise(F.col("cluster")),
-        "member": F.explode(F.array(F.struct(F.col("a").alias("cid"), F.col("left").alias("block")), F.struct(F.col("b").alias("cid"), F.col("right").alias("block")))),
-    })
-    met = scratch.keep(met.select("task", "left_block", "right_block", "cluster", "member.block", "member.cid").distinct(), "met")
-    met = sets.join(F.broadcast(met) if met.count() <= BROADCAST_ROWS else met, "cid").select("task", "left_block", "right_block", "cluster", "block", "cid", "cnt", "corners", "bits")
-    found = scratch.keep(met.groupBy("task", "left_block", "right_block").applyInArrow(_evaluate, "a long, b long, links long"), "links")
+    found = links_of(sets, scratch)
     joined = connected_components(found.select("a", "b"), scratch).select(F.col("v").alias("cid"), F.col("label").alias("component_id"))
     links = found.groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
     labelled = classes.join(joined, "cid", "left").join(links, "cid", "left")
