@@ -315,7 +315,7 @@ def are_copies(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Links of one task's candidates: rows with ``other`` are pairs, the others images."""
+    """Links of one task's candidates, as each image's number and a forest: rows with ``other`` are pairs, the others images."""
     cid, cnt, other = (table.column(n).to_pylist() for n in ("cid", "cnt", "other"))
     corners, bits = table.column("corners").to_pylist(), table.column("bits").to_pylist()
     raw: dict[int, list[int]] = {}  # an id may have several images
@@ -331,12 +331,23 @@ def _compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             held[c] = [(np.frombuffer(corners[k], "<f4").reshape(-1, 4), _signed(bits[k])) for k in raw[c]]
         return held[c]
 
-    out = []
+    links: dict[int, int] = {}
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.setdefault(c, c) != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
     for c, o in sorted((c, o) for c, o in zip(cid, other, strict=True) if o is not None):
         if any(are_copies(x, y) for x in images(c) for y in images(o)):
-            out += [(c, o, cnt[raw[o][0]]), (o, c, cnt[raw[c][0]])]
-    a, b, links = zip(*out, strict=True) if out else ([], [], [])
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "links": pa.array(links, pa.int64())})
+            links[c] = links.get(c, 0) + cnt[raw[o][0]]
+            links[o] = links.get(o, 0) + cnt[raw[c][0]]
+            x, y = find(c), find(o)
+            root[max(x, y)] = min(x, y)
+    a = sorted(links)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array([find(c) for c in a], pa.int64()), "links": pa.array([links[c] for c in a], pa.int64())})
 
 
 def _block(column: str) -> F.Column:
