@@ -391,6 +391,14 @@ def brute_copies(pictures, all_pairs=False):
     return hit
 
 
+def test_entries_of_any_corner_number():
+    e = image_copies.entries_of(-5, np.random.default_rng(1).integers(0, 256, (30, 32)).astype(np.uint8))
+    far = e.copy()
+    far["corner"] += 1 << 16
+    assert (image_copies._unpacked([image_copies._packed(e), image_copies._packed(far)]) == np.concatenate((e, far))).all()
+    assert not len(image_copies._unpacked([])) and len(image_copies._packed(e)) < len(image_copies._packed(far))
+
+
 def picture_frame(spark, rows):
     return spark.createDataFrame([(i, *p.shape[::-1], bytearray(np.ascontiguousarray(p).tobytes())) for i, p in rows], "id long, width int, height int, pixels binary")
 

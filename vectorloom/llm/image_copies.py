@@ -193,6 +193,16 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 #: Entries that a map task holds before it sends them.
 FLUSH = 1 << 20
 _ENTRY = np.dtype([("h", "<u8"), ("own", "<i8"), ("corner", "<i4")])
+#: As they are sent where all corners of a blob have small numbers; the first byte tells which it is.
+_SHORT = np.dtype([("h", "<u8"), ("own", "<i8"), ("corner", "<u2")])
+
+
+def _packed(e: np.ndarray) -> bytes:
+    return b"\0" + e.astype(_SHORT).tobytes() if not len(e) or e["corner"].max() < 1 << 16 else b"\1" + e.tobytes()
+
+
+def _unpacked(blobs: list[bytes]) -> np.ndarray:
+    return np.concatenate([np.empty(0, _ENTRY), *(np.frombuffer(b, _ENTRY if b[0] else _SHORT, offset=1).astype(_ENTRY) for b in blobs)])
 
 
 def entries_of(own: int, descriptors: np.ndarray) -> np.ndarray:
@@ -218,7 +228,7 @@ def _parts(buckets: int):
             bucket, col = [], []
             for k, parts in _cut(e["h"], buckets, e):
                 bucket.append(k)
-                col.append(parts[0])
+                col.append(_packed(np.frombuffer(parts[0], _ENTRY)))
             return _emit(bucket, [col], ["entries"])
 
         for b in batches:
@@ -242,7 +252,7 @@ def _meetings(buckets: int):
     """Of one range of values: who meets whom by which corners, packed by pair; of wide values the stars' edges (a, b)."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        e = _blob(table, "entries", _ENTRY)
+        e = _unpacked(table.column("entries").to_pylist())
         e = e[np.lexsort((e["own"], e["h"]))]
         first = np.flatnonzero(np.r_[True, e["h"][1:] != e["h"][:-1]][: len(e)])
         n = np.diff(np.r_[first, len(e)])
