@@ -108,6 +108,28 @@ def test_maxscore(spark):
     assert len(few) == 2
 
 
+@pytest.mark.parametrize("chunk", [16, 64])
+def test_maxscore_prunes_and_stays_exact(spark, monkeypatch, chunk):
+    monkeypatch.setattr(maxscore, "FIRST", chunk // 2)
+    monkeypatch.setattr(maxscore, "CHUNK", chunk)
+    rng = np.random.default_rng(3)
+    x = np.floor(1024 * rng.normal(0, 1, (900, 24)) * np.geomspace(1, 0.01, 24)).astype(np.float64)  # few terms matter
+    x[700:] = x[:200]
+    for q in range(0, 900, 90):
+        s = x @ x[q]
+        want = [i for i in np.lexsort((np.arange(900), -s)) if i != q][:10]
+        assert maxscore.score_shard(np.arange(900), x, np.array([q]), x[q : q + 1], 10) == [(q, i, int(s[i])) for i in want]
+
+
+def test_maxscore_rows_that_repeat(spark, monkeypatch):
+    monkeypatch.setattr(maxscore, "SHARD_ROWS", 7)
+    monkeypatch.setattr(maxscore, "QUERY_ROWS", 2)
+    rows = [(i, [float(i % 5), 1.0], 1, "x") for i in range(20)] + [(3, [3.0, 1.0], 9, "y")] * 2
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, shard int, block string").repartition(4)
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in maxscore.top_k(df, df.where("vec_id in (0, 10, 4)"), 4, 1).orderBy("query_id", "rank").collect()]
+    assert [g for g in got if g[0] == 4] == [(4, 1, 9, 17), (4, 2, 14, 17), (4, 3, 19, 17), (4, 4, 3, 13)] and len(got) == 12
+
+
 def brute_links(texts):
     sets = {}
     for i, t in texts:
@@ -461,6 +483,24 @@ def test_small_crops_of_large_images(spark, monkeypatch):
     assert sorted({(r["id"], r["component_id"]) for r in image_copies.image_copies(twice).collect()}) == [(0, 0), (1, 1), (2, 2)]
 
 
+def test_pipeline_with_awkward_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    good, labels = labelled(spark)
+    rows = [(i, t, "en", s, len(t or ""), "z") for i, t, s in ((None, None, None), (None, "river stone house green water", "b"), (7001, "", "b"), (7002, None, "c"), (7003, "river " * 20000, None), (7004, "é" * 9000, "a"))]
+    odd = spark.createDataFrame(rows + rows[1:3], "doc_id long, text string, lang string, source string, n_chars long, rid string")
+    df = good.drop("score", "shard").withColumn("rid", quality.F.lit("z")).unionByName(odd)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert got and all(r["length"] <= 4096 for r in got) and {r["doc_id"] for r in got} <= {r["doc_id"] for r in df.collect()}
+    again = sorted((r["doc_id"] or -1, r["piece"], r["ids_crc32"]) for r in got)
+    assert again == sorted((r["doc_id"] or -1, r["piece"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -10,7 +10,8 @@ what is left still competes. Shards' own best k are merged by query. All numbers
 doubles, far below 2**53.
 
 Queries and candidates meet block by block: a task holds one shard and one block of queries, both bounded, so
-nothing grows with the tables and no pair of rows is ever written.
+nothing grows with the tables and no pair of rows is ever written. Only query blocks are copied, one for each shard.
+Chunks of candidates start small, so that there is a bar to prune by early.
 
 Edge cases: vectors null, empty, or with a null or non-finite component take no part, and vectors of another
 length than a query's aren't its candidates; equal scores go to the smaller vec_id; a query doesn't find its
@@ -28,7 +29,15 @@ from pyspark.sql import functions as F
 
 from vectorloom.runtime import ship
 
-SHARD_ROWS, QUERY_ROWS, CHUNK, PROBE = 8_192, 512, 2_048, 8
+SHARD_ROWS, QUERY_ROWS, FIRST, CHUNK, PROBE = 8_192, 512, 128, 2_048, 8
+
+
+def _chunks(n: int) -> Iterator[tuple[int, int]]:
+    """Cuts of n candidates: FIRST, then twice as many each time up to CHUNK."""
+    at, size = 0, FIRST
+    while at < n:
+        yield at, min(n, at + size)
+        at, size = at + size, min(CHUNK, 2 * size)
 
 
 def score_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int]]:
@@ -47,8 +56,8 @@ def score_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, que
         top = float(high.sum())
         best_s, best_i = np.empty(0), np.empty(0, np.int64)
         bar = -np.inf
-        for at in range(0, n, CHUNK):
-            part = slice(at, min(n, at + CHUNK))
+        for at, end in _chunks(n):
+            part = slice(at, end)
             here = ids[part]
             # non-essential: even all their room over their least contributions leaves a candidate under the bar
             # unless an essential posting adds to it
@@ -86,7 +95,7 @@ def _blocks(rows: DataFrame, block: str) -> DataFrame:
 
     def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         v = table.column("v").combine_chunks()
-        flat = v.values if isinstance(v, pa.ListArray) else v.flatten()
+        flat = v.flatten()
         ids = table.column("vec_id").to_numpy().astype("<i8")
         return pa.table({
             "block": [key[0].as_py()], "dim": [key[1].as_py()], "ids": pa.array([ids.tobytes()], pa.binary()), "data": pa.array([flat.to_numpy().astype("<f8").tobytes()], pa.binary()),
@@ -111,9 +120,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     dealt = lambda m: F.pmod(F.xxhash64("vec_id", "v"), F.lit(m))
     docs = _blocks(whole(vectors), dealt(shards)).select(F.col("block").alias("shard"), "dim", "ids", "data")
     asked = _blocks(whole(queries), dealt(blocks)).select("block", F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    docs = docs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    met = docs.join(asked, ["shard", "block"]).where("dim = q_dim").select("dim", "ids", "data", "q_ids", "q_data")
+    met = docs.join(asked, "shard").where("dim = q_dim").select("dim", "ids", "data", "q_ids", "q_data")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
