@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of its predecessor; ``run`` writes every stage's
 rows as Parquet in the shared folder and reads them again for the next one.
+
+Edge cases: null and empty texts are scored like others by the classifier; of near copies the smallest doc_id stays
+(rows that repeat a doc_id are one document, rows without one all stay); texts without words link with nothing, have
+size 0 and are never taken by the mix; very long texts are cut into several sequences, never shortened; a null source
+is a source of its own; columns beside those of documents are carried through all stages but the last, whatever their
+names (those that begin with __vl are the operators' own); an empty table gives no rows.
 """
 
 from __future__ import annotations
