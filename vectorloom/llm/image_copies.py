@@ -191,7 +191,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 #: Entries that a map task holds before it sends them.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 _ENTRY = np.dtype([("h", "<u8"), ("own", "<i8"), ("corner", "<i4")])
 #: As they are sent where all corners of a blob have small numbers; the first byte tells which it is.
 _SHORT = np.dtype([("h", "<u8"), ("own", "<i8"), ("corner", "<u2")])
@@ -245,7 +245,7 @@ def _parts(buckets: int):
 
 
 _MEETING = np.dtype([("a", "<i8"), ("b", "<i8"), ("ca", "<i4"), ("cb", "<i4")])
-_HELD_PAIRS = 1 << 20
+_HELD_PAIRS = 1 << 18
 
 
 def _meetings(buckets: int):
@@ -336,7 +336,7 @@ def _compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
     def images(c: int) -> list[tuple]:
         if c not in held:
-            if len(held) >= 4096:
+            if len(held) >= 512:
                 held.clear()
             held[c] = [(np.frombuffer(corners[k], "<f4").reshape(-1, 4), _signed(bits[k])) for k in raw[c]]
         return held[c]
