@@ -32,6 +32,8 @@ from vectorloom.runtime import Scratch, ship
 CLASS = 4
 #: Documents of a class (and gaps for them) that the driver places at the end, and the share that a round has to match.
 LANDING, FEW = 512, 0.02
+#: Documents of a range that a task sweeps.
+RANGE = 1 << 15
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -190,10 +192,12 @@ def best_fit(sizes: DataFrame, capacity: int, scratch: Scratch) -> DataFrame:
     # more than half a sequence: each opens one of its own, named as itself
     large = sizes.where(F.col("length") > capacity // 2)
     done = [large.select("rid", F.col("rid").alias("seq"), F.lit(0).cast("long").alias("offset"))]
-    rest = sizes.where(F.col("length") <= capacity // 2).select(F.lit(1).alias("kind"), F.col("rid").alias("id"), F.col("length").alias("size"))
-    state = scratch.keep(large.where(F.col("length") < capacity).select(F.lit(0).alias("kind"), F.col("rid").alias("id"), (F.lit(capacity) - F.col("length")).alias("size")).unionByName(rest), "state")
+    state = large.where(F.col("length") < capacity).select(F.lit(0).alias("kind"), F.col("rid").alias("id"), (F.lit(capacity) - F.col("length")).alias("size"))
     opened, few = 0, False
     for low, high in classes:
+        # the gaps, and the documents of this class
+        mine = sizes.where(F.col("length").between(low + 1, high)).select(F.lit(1).alias("kind"), F.col("rid").alias("id"), F.col("length").alias("size"))
+        state = _moved(state, state.unionByName(mine), scratch)
         while True:
             left, top, tokens = state.where(F.col("kind") == 1).where(F.col("size").between(low + 1, high)).agg(F.count(F.lit(1)), F.max("size"), F.sum("size")).first()
             if not left:
@@ -207,7 +211,7 @@ def best_fit(sizes: DataFrame, capacity: int, scratch: Scratch) -> DataFrame:
                 placed, opened = _landing(state, low, high, capacity, opened)
                 n = left
             else:
-                placed, n = _round(state, low, top, parts, scratch, capacity)
+                placed, n = _round(state, low, top, min(parts, max(4, left // RANGE)), scratch, capacity)
             few = n < FEW * left
             if placed is None:
                 continue
