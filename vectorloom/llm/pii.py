@@ -39,7 +39,7 @@ MIN_SEEDS, CONFIDENT, ACCEPT, UNKNOWN, ROUNDS, PASSES = 3, 0.5, 0.8, 0.5, 3, 4
 #: Patterns sent to every task; bits of their sketch beyond that, and of one part of it; counts and words a task holds.
 MAX_BROADCAST, SKETCH_BITS, _PART_BITS, HELD = 1 << 16, 27, 17, 1 << 17
 #: Words kept per worker process; the table is emptied when full.
-MAX_WORDS = 600_000
+MAX_WORDS = 200_000
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
