@@ -228,10 +228,6 @@ def best_fit(sizes: DataFrame, capacity: int, scratch: Scratch) -> DataFrame:
     return out
 
 
-#: Placed rows that may be broadcast to their pieces.
-BROADCAST_ROWS = 1 << 20
-
-
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 4096, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, where asked) of every piece."""
     if capacity < 2:
@@ -241,6 +237,5 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 4096
     cut = pieces_of(docs, tokenizer_path, end_id, capacity, with_ids).withColumn("rid", F.monotonically_increasing_id())
     pieces = scratch.keep(cut, "pieces")
     placed = scratch.keep(best_fit(pieces.select("rid", "length"), capacity, scratch), "places")
-    few = pieces.count() <= BROADCAST_ROWS
-    out = pieces.join(F.broadcast(placed) if few else placed, "rid")
+    out = pieces.join(placed, "rid")
     return out.select(*[c for c in pieces.columns if c != "rid"], F.col("seq").alias("sequence_id"), "offset")
