@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from vectorloom.runtime import Scratch
-from vectorloom.llm import image_copies, maxscore, mixing, ngram_join, packing, pii, quality, shards, token_store, tokens, toxicity
+from vectorloom.llm import components, image_copies, maxscore, mixing, ngram_join, packing, pii, quality, shards, token_store, tokens, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, shard int"
 
@@ -413,6 +413,18 @@ def brute_copies(pictures, all_pairs=False):
     return hit
 
 
+@pytest.mark.parametrize("thin", [1 << 18, 20])
+def test_thinned_edges_connect_the_same(spark, monkeypatch, thin):
+    monkeypatch.setattr(components, "THIN", thin)
+    rng = np.random.default_rng(2)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, 500) for i in range(500, 560)] + [(i, 501) for i in range(500, 560)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    scratch = Scratch(spark, "t")
+    want = {tuple(r) for r in components.connected_components(edges, scratch).collect()}
+    few = components.thinned(edges)
+    assert {tuple(r) for r in components.connected_components(few, scratch).collect()} == {(v, c) for v, c in want if sum(w[1] == c for w in want) > 1} and few.count() < 320
+
+
 def test_entries_of_any_corner_number():
     e = image_copies.entries_of(-5, np.random.default_rng(1).integers(0, 256, (30, 32)).astype(np.uint8))
     far = e.copy()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,3 +30,30 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         labels._scratch_path = new._scratch_path
         if not moved:
             return labels
+
+
+#: Edges of one group that a task thins out, about.
+THIN = 1 << 18
+
+
+def _forest_edges(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while root.setdefault(v, v) != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    for a, b in zip(table.column("a").to_pylist(), table.column("b").to_pylist(), strict=True):
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    kept = [(v, find(v)) for v in sorted(root) if find(v) != v]
+    a, b = zip(*kept, strict=True) if kept else ([], [])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def thinned(edges: DataFrame) -> DataFrame:
+    """Edges that connect the same vertices: groups of bounded size, each cut down to a spanning forest."""
+    groups = max(1, edges.count() // THIN)
+    return edges.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(groups)).alias("g")).groupBy("g").applyInArrow(_forest_edges, "a long, b long")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.llm.components import connected_components
+from vectorloom.llm.components import connected_components, thinned
 from vectorloom.llm.ngram_join import BROADCAST_ROWS, _blob, _cut, _emit, _forest, overlaps
 from vectorloom.runtime import Scratch, ship
 
@@ -470,7 +470,7 @@ def image_copies(images: DataFrame) -> DataFrame:
     if described.groupBy("id", "hi", "lo").count().where("id is not null and count > 1").head(1):  # rows that repeat whole
         sets = sets.dropDuplicates(["cid", "bits"])
     found = links_of(sets, scratch)
-    joined = connected_components(found.select("a", "b"), scratch).select(F.col("v").alias("cid"), F.col("label").alias("component_id"))
+    joined = connected_components(thinned(found), scratch).select(F.col("v").alias("cid"), F.col("label").alias("component_id"))
     links = found.groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
     labelled = classes.join(joined, "cid", "left").join(links, "cid", "left")
     labelled = labelled.select("hi", "lo", F.coalesce("component_id", "cid").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("cnt") - 1).alias("n_links"))
