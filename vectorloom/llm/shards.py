@@ -29,7 +29,7 @@ from vectorloom.runtime import Scratch, ship
 #: Cells and numbers of the matrix at most: partitions beyond share a cell.
 MAX_CELLS, MAX_NUMBERS = 16_384, 1 << 22
 #: Kinds from which numpy's sampler is replaced (it takes fewer than 10**9 of either), and rows of a strip.
-LARGE, STRIP = 10**9, 1 << 18
+LARGE, STRIP = 10**9, 1 << 15
 _INDEX = (1 << 33) - 1
 
 
