@@ -161,7 +161,17 @@ def _moved(old: DataFrame, new: DataFrame, scratch: Scratch) -> DataFrame:
     return new
 
 
-def _landing(state: DataFrame, low: int, high: int, capacity: int, opened: int) -> tuple[DataFrame, int]:
+def _beside(state: DataFrame, more: DataFrame) -> DataFrame:
+    """Both, not written; the next written state takes their place."""
+    out = state.unionByName(more)
+    out._scratch_path = getattr(state, "_scratch_path", None)
+    return out
+
+
+_PLACED = "rid long, length long, seq long, gap long, offset long"
+
+
+def _landing(state: DataFrame, low: int, high: int, capacity: int, opened: int) -> tuple[list[tuple], int]:
     """Placements of the last documents of a class, in the largest gaps and in new sequences, by best fit; and the new ones' count."""
     documents = state.where(F.col("kind") == 1).where(F.col("size").between(low + 1, high)).select("size", "id").collect()  # LANDING rows
     gaps = state.where(F.col("kind") == 0).where(F.col("size") > low).orderBy(F.col("size").desc(), "id").limit(LANDING).select("size", "id").collect()
@@ -177,11 +187,14 @@ def _landing(state: DataFrame, low: int, high: int, capacity: int, opened: int)
         rows.append((rid, size, seq, first[seq], capacity - gap))
         if gap > size:
             bisect.insort(free, (gap - size, seq))
-    return state.sparkSession.createDataFrame(rows, "rid long, length long, seq long, gap long, offset long"), opened
+    return rows, opened
 
 
 def best_fit(sizes: DataFrame, capacity: int, scratch: Scratch) -> DataFrame:
-    """(rid, seq, offset) of every row of ``sizes`` (rid long, length long)."""
+    """(rid, seq, offset) of every row of ``sizes`` (rid long, length long).
+
+    Sizes are written once, a folder a class, so that a class reads its own documents only.
+    """
     spark = sizes.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     classes, high = [], capacity // 2
@@ -189,15 +202,18 @@ def best_fit(sizes: DataFrame, capacity: int, scratch: Scratch) -> DataFrame:
         low = high // 2 if not classes else high // CLASS
         classes.append((low, high))
         high = low
+    lows = [capacity // 2, *(low for low, _ in classes)]
+    of_class = F.coalesce(*[F.when(F.col("length") > low, F.lit(k)) for k, low in enumerate(lows)])
+    sizes = scratch.keep(sizes.withColumn("class", of_class), "sizes", partition_by=["class"])
     # more than half a sequence: each opens one of its own, named as itself
-    large = sizes.where(F.col("length") > capacity // 2)
-    done = [large.select("rid", F.col("rid").alias("seq"), F.lit(0).cast("long").alias("offset"))]
+    large = sizes.where(F.col("class") == 0)
     state = large.where(F.col("length") < capacity).select(F.lit(0).alias("kind"), F.col("rid").alias("id"), (F.lit(capacity) - F.col("length")).alias("size"))
+    swept: list[str] = []  # where the rounds' placements lie
+    landed: list[tuple] = []  # LANDING rows a class
     opened, few = 0, False
-    for low, high in classes:
+    for k, (low, high) in enumerate(classes, 1):
         # the gaps, and the documents of this class
-        mine = sizes.where(F.col("length").between(low + 1, high)).select(F.lit(1).alias("kind"), F.col("rid").alias("id"), F.col("length").alias("size"))
-        state = _moved(state, state.unionByName(mine), scratch)
+        state = _beside(state, sizes.where(F.col("class") == k).select(F.lit(1).alias("kind"), F.col("rid").alias("id"), F.col("length").alias("size")))
         while True:
             left, top, tokens = state.where(F.col("kind") == 1).where(F.col("size").between(low + 1, high)).agg(F.count(F.lit(1)), F.max("size"), F.sum("size")).first()
             if not left:
@@ -206,25 +222,29 @@ def best_fit(sizes: DataFrame, capacity: int, scratch: Scratch) -> DataFrame:
                 need = max(1, -(-tokens // capacity), left // (capacity // (low + 1)))
                 fresh = spark.range(opened, opened + need).select(F.lit(0).alias("kind"), (-1 - F.col("id")).alias("id"), F.lit(capacity).cast("long").alias("size"))
                 opened, few = opened + need, False
-                state = _moved(state, state.unionByName(fresh), scratch)
+                state = _beside(state, fresh)
             if left <= LANDING:
-                placed, opened = _landing(state, low, high, capacity, opened)
-                n = left
+                rows, opened = _landing(state, low, high, capacity, opened)
+                landed += rows
+                placed, n = spark.createDataFrame(rows, _PLACED), left
             else:
                 placed, n = _round(state, low, top, min(parts, max(4, left // RANGE)), scratch, capacity)
+                if placed is not None:
+                    swept.append(placed._scratch_path)
             few = n < FEW * left
             if placed is None:
                 continue
-            done.append(placed.select("rid", "seq", "offset"))
             less = placed.groupBy(F.col("seq").alias("id")).agg(F.sum("length").alias("less"), F.max("gap").alias("gap")).withColumn("kind", F.lit(0))
             new = less.where("gap > less").join(state, ["kind", "id"], "left_anti").select("kind", "id", (F.col("gap") - F.col("less")).alias("size"))  # opened by the landing
             gone = less.select("kind", "id", "less").unionByName(placed.select(F.lit(1).alias("kind"), F.col("rid").alias("id"), F.col("length").alias("less")))
             kept = state.join(gone, ["kind", "id"], "left").withColumn("size", F.col("size") - F.coalesce("less", F.lit(0))).where("size > 0").select("kind", "id", "size")
             state = _moved(state, kept.unionByName(new), scratch)
         few = False
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
+    out = large.select("rid", F.col("rid").alias("seq"), F.lit(0).cast("long").alias("offset"))
+    if landed:
+        out = out.unionByName(spark.createDataFrame(landed, _PLACED).select("rid", "seq", "offset"))
+    if swept:
+        out = out.unionByName(spark.read.schema(_PLACED).parquet(*swept).select("rid", "seq", "offset"))
     return out
 
 
