@@ -56,7 +56,7 @@ class _WordHashes(dict):
 
 
 #: Words kept per worker process; the table is emptied when full.
-MAX_WORDS = 400_000
+MAX_WORDS = 150_000
 
 
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:

@@ -37,7 +37,7 @@ CUT = 0.7
 _KIND = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256))
 _RUN = re.compile(rb"(.)\1+", re.DOTALL)
 #: Words kept per worker process; the table is emptied when full.
-MAX_WORDS = 400_000
+MAX_WORDS = 150_000
 
 
 def _shape(word: bytes) -> bytes:

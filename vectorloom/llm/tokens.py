@@ -15,7 +15,7 @@ import numpy as np
 from vectorloom.llm import memo
 
 #: Words kept per worker process; the table is emptied when full. Longer words are encoded but not kept.
-MAX_WORDS = 700_000
+MAX_WORDS = 250_000
 MAX_KEPT_BYTES = 48
 CHUNK_WORDS = 4_000
 
