@@ -177,6 +177,32 @@ def test_fragments_of_the_order(counts, fragments):
         assert many[many < b >> 32].sum() <= share + 1e-6 and many[many <= b >> 32].sum() >= share - 1e-6
 
 
+def test_order_counts_every_shingle(spark):
+    """However many shingles there are, each is counted apart, over chunks and buckets: no two rare ones pass for a common one."""
+    rng = np.random.default_rng(8)
+    pool = rng.integers(0, 1 << 63, 1500, dtype=np.uint64) * np.uint64(2)
+    sets = [np.unique(np.concatenate((rng.choice(pool, 40), pool[:5], rng.integers(0, 1 << 63, 30, dtype=np.uint64)))) for _ in range(300)]
+    times = collections.Counter(h for s in sets for h in s.tolist())
+    rows = [(k // 3, k, len(s), 1, s.tobytes()) for k, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "chunk long, cid long, n long, cnt long, set binary").repartition(3, "chunk").sortWithinPartitions("chunk")
+    got = ngram_join.in_order(df, sum(map(len, sets)), 80).collect()
+    assert sorted(r["cid"] for r in got) == list(range(300))
+    for r in got:
+        s = sets[r["cid"]].tolist()
+        order = sorted((ngram_join._coarse(np.array([times[h]])).item(), h) for h in s)
+        shared = [x for x in order if x[0] > 1]
+        assert np.frombuffer(r["set"], "<u8").tolist() == [h for _, h in shared] and np.frombuffer(r["counts"], "<u4").tolist() == [c for c, _ in shared]
+        assert np.frombuffer(r["prefix"], "<u8").tolist() == [h for c, h in order[: len(s) - -(-80 * len(s) // 100) + 1] if c > 1]
+        assert times[s[0]] < 256 or abs(ngram_join._coarse(np.array([times[s[0]]])).item() / times[s[0]] - 1) < 1 / 128
+
+
+def test_ngram_join_repeated_rows(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    texts = [(1, text), (1, text), (1, text + " x"), (2, text), (3, text + " y"), (3, text + " y"), (4, "other words only here now")] * 2
+    got = {(r["doc_id"], r["component_id"]) for r in ngram_join.ngram_join(docs(spark, texts).repartition(5)).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
 def test_ngram_join_edges(spark):
     got = ngram_join.ngram_join(docs(spark, AWKWARD)).collect()
     assert len(got) == len(AWKWARD) and [r["component_id"] for r in got if r["doc_id"] is None] == [None]

@@ -5,9 +5,11 @@
 2. Two linked sets share at least a tenth of the smaller one within those prefixes. Prefixes meet by hash range;
    classes with fewer shared shingles than that have no partner and leave. A map task settles shingles that it
    has seen twice by itself, so a common shingle is sent once a task, not once a document.
-3. The sets of the classes that stay are read again and a sketch of fixed size counts their shingles; (count,
-   hash) is the global order, rarest first. Sets that share none of the first ``n - ceil(0.8 n) + 1`` shingles in
-   it can't link; the others form candidate clusters.
+3. The sets of the classes that stay are read again and their shingles are counted by hash range, each chunk of
+   sets asking for its own; (count, hash) is the global order, rarest first. Shingles of one set alone are left out
+   from here on. Sets that share none of the first ``n - ceil(0.8 n) + 1`` shingles in the order can't link; the
+   others form candidate clusters. Counts are of 40 bits of a hash and more, at any size of the table; they order
+   shingles and say which may be shared, so a collision costs time, never a link.
 4. The global order is cut into FRAGMENTS of equal weight, and every set with it. A cluster is cut into blocks of
    bounded size. For each two blocks each fragment is a task of its own: it counts the partial overlaps of its pairs
    (a product of two small 0/1 matrices) and hands on one dense matrix of small numbers. Another stage sums the
@@ -209,43 +211,147 @@ def _shared_counts(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 
 def _sets(width: int):
+    """The sets of classes that stay, each once a task, in chunks of about FLUSH shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        chunks = _Chunks()
         for b in batches:
-            cid, n, cnt, raw = [], [], [], []
+            chunk, cid, n, cnt, raw = [], [], [], [], []
             for d, text, hi, lo, c in zip(*(b.column(x).to_pylist() for x in ("doc_id", "text", "hi", "lo", "cnt")), strict=True):
                 h = shingle_set(text.encode() if text else None, width)
-                if len(h) and _signature(h) == (hi, lo):
+                if len(h) and d not in seen and _signature(h) == (hi, lo):
+                    seen.add(d)
+                    chunk.append(chunks.of(len(h)))
                     cid.append(d)
                     n.append(len(h))
                     cnt.append(c)
                     raw.append(h.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(n, pa.int64()), pa.array(cnt, pa.int64()), pa.array(raw, pa.binary())], ["cid", "n", "cnt", "set"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (chunk, cid, n, cnt)), pa.array(raw, pa.binary())], ["chunk", "cid", "n", "cnt", "set"])
 
     return run
 
 
-_CHUNK = 1 << 14
+class _Chunks:
+    """Numbers for the chunks of one task's sets."""
+
+    def __init__(self):
+        from pyspark import TaskContext
+
+        self.number, self.held = TaskContext.get().partitionId() << 32, 0
+
+    def of(self, n: int) -> int:
+        if self.held >= FLUSH:
+            self.number, self.held = self.number + 1, 0
+        self.held += n
+        return self.number
+
 
+def _rechunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    chunks = _Chunks()
+    for b in batches:
+        chunk = pa.array([chunks.of(n) for n in b.column("n").to_pylist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([chunk, *(b.column(x) for x in ("cid", "n", "cnt", "set"))], ["chunk", "cid", "n", "cnt", "set"])
+
+
+def _key(h: np.ndarray) -> np.ndarray:
+    """What shingles are counted by within a hash range."""
+    return (h >> np.uint64(24)).astype("<u4")
+
+
+def _chunk_parts(buckets: int):
+    """Each chunk's distinct shingles by bucket, with how many of its sets hold them."""
 
-def _sketch_parts(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.uint32)
+        def sent(chunk: int, held: list[bytes]) -> pa.RecordBatch:
+            h, times = np.unique(np.frombuffer(b"".join(held), "<u8"), return_counts=True)
+            bucket, keys, counts = [], [], []
+            for k, (key, n) in _cut(h, buckets, _key(h), times.astype("<u4")):
+                bucket.append(k)
+                keys.append(key)
+                counts.append(n)
+            out = _emit(bucket, [keys, counts], ["keys", "counts"])
+            return out.append_column("chunk", pa.array([chunk] * len(bucket), pa.int64()))
+
+        now, held = -1, []
         for b in batches:
-            for raw in b.column("set").to_pylist():
-                np.add.at(counts, (np.frombuffer(raw, "<u8") >> np.uint64(64 - bits)).astype(np.int64), 1)
-        kept = [(k, counts[k * _CHUNK : (k + 1) * _CHUNK]) for k in range(-(-len(counts) // _CHUNK))]
-        kept = [(k, c.tobytes()) for k, c in kept if c.any()]
-        if kept:
-            yield _emit([k for k, _ in kept], [[c for _, c in kept]], ["counts"])
+            for chunk, raw in zip(b.column("chunk").to_pylist(), b.column("set").to_pylist(), strict=True):
+                if chunk != now and held:
+                    yield sent(now, held)
+                    held = []
+                now = chunk
+                held.append(raw)
+        if held:
+            yield sent(now, held)
+
+    return run
+
+
+def _coarse(counts: np.ndarray) -> np.ndarray:
+    """Counts to eight significant bits, so that there are few different ones."""
+    counts = np.minimum(counts, 0xFFFFFFFF).astype(np.uint64)
+    shift = np.maximum(np.frexp(counts.astype(np.float64))[1] - 8, 0).astype(np.uint64)
+    return (counts >> shift << shift).astype("<u4")
+
+
+def _bucket_counts(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """For each chunk its shingles of this bucket that are counted more than once."""
+    keys = _blob(table, "keys", "<u4")
+    _, at = np.unique(keys, return_inverse=True)
+    total = np.bincount(at, weights=_blob(table, "counts", "<u4"))[at].astype(np.int64) if len(keys) else np.empty(0, np.int64)
+    cuts = np.cumsum([0, *(len(raw) // 4 for raw in table.column("keys").to_pylist())]).tolist()
+    kept_keys, kept_counts = [], []
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        many = total[i:j] > 1
+        kept_keys.append(keys[i:j][many].tobytes())
+        kept_counts.append(_coarse(total[i:j][many]).tobytes())
+    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "keys": pa.array(kept_keys, pa.binary()), "counts": pa.array(kept_counts, pa.binary())})
+
+
+_ORDERED = "cid long, n long, cnt long, prefix binary, set binary, counts binary"
+
+
+def _in_order(percent: int, buckets: int):
+    """Each set's shingles in the global order, without those counted once, with their counts; and of these its prefix."""
+
+    def run(key: tuple[pa.Scalar, ...], sets: pa.Table, counted: pa.Table) -> pa.Table:
+        bucket = np.repeat(counted.column("bucket").to_numpy().astype(np.uint64), np.array([len(x) // 4 for x in counted.column("keys").to_pylist()], np.int64))
+        known, at = np.unique(bucket << np.uint64(32) | _blob(counted, "keys", "<u4"), return_index=True)
+        count = _blob(counted, "counts", "<u4")[at]
+        raw = sets.column("set").to_pylist()
+        h = np.frombuffer(b"".join(raw), "<u8")
+        row = np.repeat(np.arange(len(raw)), np.array([len(x) // 8 for x in raw], np.int64))
+        own = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32) << np.uint64(32) | _key(h)
+        at = np.searchsorted(known, own)
+        found = at < len(known)
+        found[found] = known[at[found]] == own[found]
+        row, h, c = row[found], h[found], count[at[found]]
+        order = np.lexsort((h, c, row))
+        row, h, c = row[order], h[order], c[order]
+        cuts = np.searchsorted(row, np.arange(len(raw) + 1)).tolist()
+        prefix, kept, counts = [], [], []
+        for i, j, n in zip(cuts[:-1], cuts[1:], sets.column("n").to_pylist(), strict=True):
+            alone = n - (j - i)  # they come first in the order
+            prefix.append(h[i : i + max(0, n - _need(n, percent) + 1 - alone)].tobytes())
+            kept.append(h[i:j].tobytes())
+            counts.append(c[i:j].tobytes())
+        return pa.table({**{x: sets.column(x) for x in ("cid", "n", "cnt")}, **{x: pa.array(y, pa.binary()) for x, y in (("prefix", prefix), ("set", kept), ("counts", counts))}})
 
     return run
 
 
-def _sketch_sum(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    total = np.zeros(1, np.uint64)
-    for raw in table.column("counts").to_pylist():
-        total = total + np.frombuffer(raw, "<u4")
-    return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "counts": pa.array([np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())})
+def in_order(sets: DataFrame, total: int, percent: int) -> DataFrame:
+    """``sets`` (chunk, cid, n, cnt, set), which hold ``total`` shingles, as _ORDERED says."""
+    buckets = max(128, total >> 21)
+    parts = sets.select("chunk", "set").mapInArrow(_chunk_parts(buckets), "bucket long, keys binary, counts binary, chunk long")
+    counted = parts.groupBy("bucket").applyInArrow(_bucket_counts, "chunk long, bucket long, keys binary, counts binary")
+    return sets.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(_in_order(percent, buckets), _ORDERED)
+
+
+def _entries_by_count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        value, times = np.unique(np.frombuffer(b"".join(b.column("counts").to_pylist()), "<u4"), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(value.astype(np.int64)), pa.array(times.astype(np.int64))], ["value", "times"])
 
 
 def _stars(h: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -258,16 +364,11 @@ def _stars(h: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return h[first], own[first], pairs[:, 0], pairs[:, 1]
 
 
-def _prefix_stars(buckets: int, percent: int, bits: int, sketch):
+def _prefix_stars(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.frombuffer(sketch.value, "<u4")
-
         def take(b):
-            for cid, raw in zip(b.column("cid").to_pylist(), b.column("set").to_pylist(), strict=True):
-                h = np.frombuffer(raw, "<u8")
-                c = counts[(h >> np.uint64(64 - bits)).astype(np.int64)]
-                o = np.lexsort((h, c))[: len(h) - _need(len(h), percent) + 1]
-                yield cid, h[o[c[o] > 1]]  # a count of one is one set's own shingle
+            for cid, raw in zip(b.column("cid").to_pylist(), b.column("prefix").to_pylist(), strict=True):
+                yield cid, np.frombuffer(raw, "<u8")
 
         for h, own in _flushes(batches, take):
             h, own, a, b = _stars(h, own)
@@ -332,43 +433,43 @@ def _forest(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return root
 
 
-def _order(counts: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
-    """Places in the global order: the shingle's counter, then its hash."""
-    return counts[(h >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(32) | h >> np.uint64(32)
-
+def fragment_bounds(counts: np.ndarray, fragments: int, entries: np.ndarray | None = None) -> np.ndarray:
+    """Places that cut the global order into parts with about equally many entries.
 
-def fragment_bounds(counts: np.ndarray, fragments: int) -> np.ndarray:
-    """Places that cut the global order into parts with about equally many entries."""
-    value, times = np.unique(counts[counts > 1], return_counts=True)
+    ``counts``: the count of each shingle; with ``entries`` each distinct count, and how many entries have it.
+    """
+    if entries is None:
+        value, times = np.unique(counts[counts > 1], return_counts=True)
+        entries = value.astype(np.float64) * times
+    else:
+        o = np.argsort(counts)
+        value, entries = counts[o], entries[o].astype(np.float64)
     if not len(value):
         return np.empty(0, np.uint64)
-    weight = value.astype(np.float64) * times
-    done = np.cumsum(weight)
+    done = np.cumsum(entries)
     out = []
     for k in range(1, fragments):
         i = int(np.searchsorted(done, done[-1] * k / fragments))
-        share = 1 - (done[i] - done[-1] * k / fragments) / weight[i]
+        share = 1 - (done[i] - done[-1] * k / fragments) / entries[i]
         out.append(int(value[i]) << 32 | min(int(share * 2**32), 2**32 - 1))
     return np.array(out, np.uint64)
 
 
-def _fragments(bits: int, bounds: np.ndarray, sketch):
-    """Each set as FRAGMENTS rows, one a part of the global order; a counter of one is no other set's."""
+def _fragments(bounds: np.ndarray):
+    """Each set as FRAGMENTS rows, one a part of the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.frombuffer(sketch.value, "<u4")
         for b in batches:
             rows, parts, numbers = [], [], []
-            for r, raw in enumerate(b.column("set").to_pylist()):
+            for r, (raw, counts) in enumerate(zip(b.column("set").to_pylist(), b.column("counts").to_pylist(), strict=True)):
                 h = np.frombuffer(raw, "<u8")
-                at = _order(counts, h, bits)
+                at = np.frombuffer(counts, "<u4").astype(np.uint64) << np.uint64(32) | h >> np.uint64(32)
                 which = np.searchsorted(bounds, at, side="right")
-                which[at >> np.uint64(32) < 2] = FRAGMENTS
                 for k in range(FRAGMENTS):
                     rows.append(r)
                     numbers.append(k)
                     parts.append(h[which == k].tobytes())
-            rest = b.select([n for n in b.schema.names if n != "set"]).take(pa.array(rows, pa.int64()))
+            rest = b.select([n for n in b.schema.names if n not in ("set", "counts")]).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(numbers, pa.int32()), pa.array(parts, pa.binary())], [*rest.schema.names, "fragment", "part"])
 
     return run
@@ -457,28 +558,30 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     n_stay = stay.count()
     stay_side = stay.withColumnRenamed("cid", "doc_id")
     again = docs.join(F.broadcast(stay_side) if n_stay <= BROADCAST_ROWS else stay_side, "doc_id")
-    sets = again.mapInArrow(_sets(width), "cid long, n long, cnt long, set binary")
-    sets = scratch.keep(sets.dropDuplicates(["cid", "set"]), "sets")
-
-    total = int(sets.agg(F.sum("n")).first()[0] or 0)
-    bits = min(22, max(14, (2 * total).bit_length()))
-    counted = sets.select("set").mapInArrow(_sketch_parts(bits), "bucket long, counts binary").groupBy("bucket").applyInArrow(_sketch_sum, "bucket long, counts binary").collect()
-    whole = bytearray(4 << bits)  # 16 MB at most
-    for r in counted:
-        whole[r["bucket"] * 4 * _CHUNK : r["bucket"] * 4 * _CHUNK + len(r["counts"])] = r["counts"]
-    sketch = spark.sparkContext.broadcast(bytes(whole))
+    sets = scratch.keep(again.mapInArrow(_sets(width), "chunk long, cid long, n long, cnt long, set binary"), "sets")
+    rows, distinct, total = sets.agg(F.count(F.lit(1)), F.count_distinct("cid"), F.sum("n")).first()
+    if rows > distinct:  # rows that repeat a doc_id
+        once = scratch.keep(sets.dropDuplicates(["cid"]).mapInArrow(_rechunked, "chunk long, cid long, n long, cnt long, set binary"), "sets")
+        scratch.drop(sets)
+        sets, total = once, once.agg(F.sum("n")).first()[0]
+    total = int(total or 0)
+    ordered = scratch.keep(in_order(sets, total, percent), "ordered")
+    scratch.drop(sets)
     buckets = max(128, total >> 19)
-    stars = sets.select("cid", "set").mapInArrow(_prefix_stars(buckets, percent, bits, sketch), "bucket long, h binary, own binary, a binary, b binary")
+    stars = ordered.select("cid", "prefix").mapInArrow(_prefix_stars(buckets), "bucket long, h binary, own binary, a binary, b binary")
     clusters = connected_components(stars.groupBy("bucket").applyInArrow(_star_edges, "a long, b long"), scratch)
 
+    sets = ordered.drop("prefix")
     members = sets.join(clusters.select(F.col("v").alias("cid"), F.col("label").alias("cluster")), "cid")
-    sizes = clusters.join(sets.select(F.col("cid").alias("v"), "n"), "v").groupBy("label").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
+    sizes = clusters.join(sets.select(F.col("cid").alias("v"), (F.length("set") / 8).alias("n")), "v").groupBy("label").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     members = members.join(sizes.select(F.col("label").alias("cluster"), blocks.alias("blocks")), "cluster")
     batches = max(64, total // BLOCK_SHINGLES)
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    cut = members.select("cluster", "blocks", "cid", "n", "cnt", own.alias("block"), "set")
-    cut = cut.mapInArrow(_fragments(bits, fragment_bounds(np.frombuffer(bytes(whole), "<u4"), FRAGMENTS), sketch), "cluster long, blocks int, cid long, n long, cnt long, block int, fragment int, part binary")
+    cut = members.select("cluster", "blocks", "cid", "n", "cnt", own.alias("block"), "set", "counts")
+    by_count = ordered.select("counts").mapInArrow(_entries_by_count, "value long, times long").groupBy("value").agg(F.sum("times")).collect()  # a few thousand rows at most
+    bounds = fragment_bounds(np.array([r[0] for r in by_count], np.int64), FRAGMENTS, np.array([r[1] for r in by_count], np.int64))
+    cut = cut.mapInArrow(_fragments(bounds), "cluster long, blocks int, cid long, n long, cnt long, block int, fragment int, part binary")
     met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.withColumns({
         "left_block": F.least("block", "other"), "right_block": F.greatest("block", "other"),
