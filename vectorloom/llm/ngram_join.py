@@ -544,8 +544,8 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     scratch = Scratch(spark, "ngrams")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     described = scratch.keep(docs.mapInArrow(_describe(width, percent), "doc_id long, n long, hi long, lo long, prefix binary"), "described")
-    slim = described.where("doc_id is not null").select("doc_id", "n", "hi", "lo")
-    classes = scratch.keep(slim.groupBy("hi", "lo").agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("cnt"), F.max("n").alias("n")), "classes")
+    slim = scratch.keep(described.select("doc_id", "n", "hi", "lo"), "slim")  # the prefixes go as soon as they have met
+    classes = scratch.keep(slim.where("doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("cnt"), F.max("n").alias("n")), "classes")
 
     entries = int(described.where("prefix is not null").agg(F.sum(F.length("prefix"))).first()[0] or 0) // 8
     buckets = max(128, entries >> 19)
@@ -554,6 +554,7 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     least = F.ceil(F.lit(percent) * F.col("n") / 100)  # a partner may be as small as this
     stay = classes.where("n > 0").join(shared, "lo").where(F.col("c") >= 1 + F.floor(least / 10))
     stay = scratch.keep(stay.select("cid", "hi", "lo", "cnt"), "stay")
+    scratch.drop(described)
 
     n_stay = stay.count()
     stay_side = stay.withColumnRenamed("cid", "doc_id")
@@ -596,7 +597,7 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     labelled = classes.join(joined, "cid", "left").join(links, "cid", "left")
     labelled = labelled.select("hi", "lo", F.coalesce("component_id", "cid").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("cnt") - 1).alias("n_links"))
-    out = described.select("doc_id", F.col("n").alias("n_shingles"), "hi", "lo").join(labelled, ["hi", "lo"], "left")
+    out = slim.select("doc_id", F.col("n").alias("n_shingles"), "hi", "lo").join(labelled, ["hi", "lo"], "left")
     known = F.col("doc_id").isNotNull()
     n_links = F.when(known & (F.col("n_shingles") > 0), F.col("n_links")).otherwise(F.lit(0)).cast("long")
     return out.select("doc_id", "n_shingles", F.when(known, F.coalesce("component_id", "doc_id")).alias("component_id"), n_links.alias("n_links"))
