@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,9 +75,23 @@ def throughput(df: DataFrame, value: str, per_second: float = 1000.0) -> DataFra
     return out.withColumn("qps", F.when(F.col("total_seconds") > 0, F.col("n") / F.col("total_seconds")).otherwise(0.0))
 
 
+def _edge(i: int) -> float:
+    """The largest number whose logarithm to base 2 is ``i`` or less in doubles."""
+    x = 2.0**i
+    while math.log2(math.nextafter(x, math.inf)) <= i:
+        x = math.nextafter(x, math.inf)
+    return x
+
+
 def histogram_bucket(value, start: float, count: int) -> Column:
-    """Number of the exponential bucket (start * 2**i) that a value falls in; ``count`` is the one above all."""
-    return F.greatest(F.lit(0), F.least(F.lit(count), F.ceil(F.log2(value / F.lit(start))))).cast("int")
+    """Number of the exponential bucket (start * 2**i) that a value falls in; ``count`` is the one above all.
+
+    By comparisons alone: Spark's logarithm is null for 0 and isn't exact near powers of two. Zero is in bucket 0;
+    negative values, nulls and NaN are in ``count``, as by SQL's ceil(log2(value / start)) held within 0 and count.
+    """
+    x = value.cast("double") / F.lit(start)
+    above = [(x > F.lit(_edge(i))).cast("int") for i in range(count)]
+    return F.when(x >= 0, sum(above, F.lit(0))).otherwise(F.lit(count)).cast("int")
 
 
 def synthetic(spark: SparkSession, n: int, dim: int, seed: int = 1) -> DataFrame:
