@@ -94,16 +94,22 @@ class ProdQuantizer:
         signs = rest @ gaussian(self.seed + 1, self.rows, self.dim).T >= 0
         return packed, norm, np.packbits(signs, axis=1, bitorder="little"), np.sqrt((rest * rest).sum(axis=1)).astype(np.float32)
 
-    def estimate(self, queries: np.ndarray, packed, norm, signs, rest_norm, estimator: str = "unbiased") -> np.ndarray:
-        """Inner products; ``sign_agreement`` compares signs on both sides and is biased."""
-        g = gaussian(self.seed + 1, self.rows, self.dim)
-        s = np.unpackbits(signs, axis=1, count=self.rows, bitorder="little") * 2.0 - 1.0
-        projected = queries @ g.T
+    def asked(self, queries: np.ndarray, estimator: str = "unbiased") -> np.ndarray:
+        """Numbers of queries for ``numbers`` of rows; ``sign_agreement`` compares signs on both sides and is biased."""
+        projected = queries @ gaussian(self.seed + 1, self.rows, self.dim).T
         if estimator == "unbiased":
-            extra = np.sqrt(np.pi / 2) / self.rows * (s @ projected.T)
+            extra = np.sqrt(np.pi / 2) / self.rows * projected
         elif estimator == "sign_agreement":
-            extra = s @ np.where(projected >= 0, 1.0, -1.0).T / self.rows * np.sqrt((queries * queries).sum(axis=1))
+            extra = np.where(projected >= 0, 1.0, -1.0) / self.rows * np.sqrt((queries * queries).sum(axis=1))[:, None]
         else:
             raise InvalidArgument(f"no estimator {estimator}")
-        extra = extra * np.where(rest_norm < TINY, 0, rest_norm).astype(np.float64)[:, None]
-        return self.mse.scores(queries, packed, norm) + extra
+        return np.concatenate((rotate(queries, self.seed), extra), axis=1)
+
+    def numbers(self, packed, norm, signs, rest_norm) -> np.ndarray:
+        """Numbers of rows whose inner products with ``asked`` are the estimates."""
+        s = np.unpackbits(signs, axis=1, count=self.rows, bitorder="little") * 2.0 - 1.0
+        return np.concatenate((self.mse.rotated(packed, norm), s * np.where(rest_norm < TINY, 0, rest_norm).astype(np.float64)[:, None]), axis=1)
+
+    def estimate(self, queries: np.ndarray, packed, norm, signs, rest_norm, estimator: str = "unbiased") -> np.ndarray:
+        """Inner products, a row a vector, a column a query."""
+        return self.numbers(packed, norm, signs, rest_norm) @ self.asked(queries, estimator).T

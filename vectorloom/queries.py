@@ -397,7 +397,7 @@ def tensor_import(spark, sf_dir):
 
 def search_in_blocks(spark, sf_dir):
     r = _rows(spark, sf_dir)
-    met = search._met_in_blocks(r.select("id", "values"), _asked(r), DIM, 10, lambda q: q, search.exact_scores(DIM))
+    met = search._met_in_blocks(r.select("id", "values"), _asked(r), DIM, 10, lambda q: q, search.raw_numbers(DIM))
     return _score(search.merge(met, 10))
 
 
